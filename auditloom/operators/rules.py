@@ -197,7 +197,9 @@ def evaluate_rules(
     )
     if prior_results is None:
         return out
-    kept = settled.join(rules.select("rule_id", "invoice_type_id", "check_type", "rule_order"), "rule_id")
+    kept = settled.select(
+        "doc_id", "rule_id", "rule_name", "field_id", "status", "severity", "message", "agent_notes", "skip_kind"
+    ).join(small_side(rules.select("rule_id", "invoice_type_id", "check_type", "rule_order")), "rule_id")
     kept = kept.join(documents.select("doc_id", "invoice_type_id"), ["doc_id", "invoice_type_id"], "left_semi")
     return out.unionByName(kept.select(*out.columns))
 

@@ -234,3 +234,36 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), "ts",
         F.col("event_type").alias("tool"), "value", "props", k.alias("k"),
     )
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One audit run per document."""
+    d = documents(spark, sf_dir)
+    k, c = F.col("doc_id"), F.col("o_custkey")
+    drive = k % 3 == 0
+    path = F.concat(F.lit("/in/"), "invoice_file")
+    source_id = F.when(drive, F.concat(F.lit("gd"), k)).otherwise(path)
+    states = F.array(*[F.lit(s) for s in ("passed", "passed", "failed", "needs_review", "interrupted", "running")])
+    return d.select(
+        "doc_id", F.concat(F.lit("run-"), k).alias("run_id"), F.concat(F.lit("doc-"), k).alias("invoice_id"),
+        "invoice_file", path.alias("pdf_path"), F.when(drive, "google_drive").otherwise("local").alias("source_type"),
+        source_id.alias("source_id"),
+        F.when(drive, F.concat(F.lit("gdrive://"), source_id)).when(k % 2 == 0, F.concat(F.lit("file://"), path)).otherwise("").alias("source_uri"),
+        F.substring(F.sha2(source_id, 256), 1, 12).alias("source_hash"), (k % 5).cast("string").alias("revision_id"),
+        "invoice_type_id", F.element_at(states, (1 + c % 6).cast("int")).alias("agent_status"),
+        F.when(c % 4 == 0, "").otherwise("done").alias("finish_reason"), (c % 30).cast("int").alias("turns_used"),
+        F.when(k % 7 == 0, F.concat(F.lit("https://view/"), k)).alias("web_view_link"),
+    )
+
+
+def evidence(rule_results: DataFrame) -> DataFrame:
+    """Evidence and policy references per (document, rule)."""
+    k, r = F.col("doc_id"), F.col("rule_order")
+    return rule_results.select(
+        "doc_id", "rule_id",
+        F.when(k % 20 == 0, "no supplier seen").when(k % 10 == 0, "p2: supplier quotation")
+         .when(r % 2 == 0, F.concat(F.lit("p"), 1 + k % 3, F.lit(":totals"))).otherwise("").alias("evidence_refs"),
+        F.when(r % 4 == 0, F.concat(F.lit('{"snippet_id": "L'), F.lpad((k % 50).cast("string"), 3, "0"), F.lit('", "source": "learnings"}')))
+         .when(r % 4 == 1, F.concat(F.lit('{"snippet_id": "'), "rule_id", F.lit('", "source": "rules"}; see '), "rule_id", F.lit(" page 2")))
+         .when(r % 4 == 2, F.lit('{"title": "Guide", "snippet_id": "S1"}')).otherwise("").alias("policy_refs"),
+    )
