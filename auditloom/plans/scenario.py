@@ -267,3 +267,58 @@ def evidence(rule_results: DataFrame) -> DataFrame:
          .when(r % 4 == 1, F.concat(F.lit('{"snippet_id": "'), "rule_id", F.lit('", "source": "rules"}; see '), "rule_id", F.lit(" page 2")))
          .when(r % 4 == 2, F.lit('{"title": "Guide", "snippet_id": "S1"}')).otherwise("").alias("policy_refs"),
     )
+
+
+def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One page per (order, line number) with a category and a description."""
+    li = read(spark, sf_dir, "lineitem")
+    per_page = li.groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page_num")).agg(
+        F.max(cents(F.col("l_extendedprice"))).alias("price_c"), F.min("l_shipdate").alias("day"), F.max("l_partkey").alias("part"))
+    k, n = F.col("doc_id"), F.col("page_num")
+    kinds = F.array(*[F.lit(w) for w in ("Invoice", "Receipt of bank transfer", "Nomina", "Stamp", "Annex")])
+    shared = (k % 90) * 100 + F.when(F.col("part") % 3 == 0, n * 2).otherwise(n * 700)
+    ref = F.when(F.col("part") % 2 == 0, F.concat(F.lit(" ref AB-"), F.lpad((k % 1000).cast("string"), 4, "1"))).otherwise("")
+    date = F.when(F.col("part") % 5 < 3, F.concat(F.lit(" on "), F.lpad((1 + k % 28).cast("string"), 2, "0"), F.lit("/05/2024"))).otherwise(
+        F.concat(F.lit(" on 2024-05-"), F.lpad((1 + k % 28).cast("string"), 2, "0")))
+    return per_page.select(
+        "doc_id", "page_num",
+        F.element_at(F.array(*[F.lit(c) for c in ("INVOICE_HEADER", "LINE_ITEMS", "TOTALS", "SIGNATURE_STAMP", "SUPPORTING_DOC", "COVER_PAGE", "BLANK", "UNKNOWN")]),
+                     (1 + (k + n) % 8).cast("int")).alias("category"),
+        F.concat(F.element_at(kinds, (1 + F.col("part") % 5).cast("int")), F.lit(" total "), european(F.col("price_c")), F.lit(" fee "),
+                 plain(shared), ref, date).alias("description"),
+        "price_c", "part",
+    )
+
+
+def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three positioned lines per page row, all on page one of the document."""
+    p = page_rows(spark, sf_dir).select("doc_id", "page_num", "price_c", "part")
+    types = documents(spark, sf_dir).select("doc_id", "invoice_type_id")
+    n, part, k = F.col("page_num"), F.col("part"), F.col("doc_id")
+    heads = F.array(F.concat(F.lit("Net amount: "), european(F.col("price_c"))), F.lit("Tax amount"), F.lit("Gross Total"),
+                    F.concat(F.lit("Invoice Date : "), 1 + part % 28), F.lit("VAT rate:"), F.concat(F.lit("Véndor name "), part), F.lit("Importe"))
+    bodies = (F.element_at(heads, n), european(F.col("price_c")), F.concat(F.lit("note "), part))
+    cells = []
+    for i, body in enumerate(bodies):
+        x1 = 50 + (part % 5) * 60 + (i * 200 if i == 2 else 0)
+        y1 = n * 90 + i * 28
+        cells.append(F.struct(
+            (n * 3 + i).alias("line_no"), body.alias("text"), ((k + n * 3 + i) * 7 % 100 / 100.0).alias("confidence"),
+            x1.cast("int").alias("x1"), y1.cast("int").alias("y1"), (x1 + 120 + i * 40).cast("int").alias("x2"),
+            (y1 + 20).cast("int").alias("y2")))
+    return p.select("doc_id", F.explode(F.array(*cells)).alias("_l")).select(
+        "doc_id", F.lit(1).alias("page_num"), "_l.*", F.lit(600).alias("image_width"), F.lit(800).alias("image_height")
+    ).join(types, "doc_id")
+
+
+def learning_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark texts as learning lines; every fifth is general."""
+    b = read(spark, sf_dir, "benchmark")
+    k = F.col("item_id")
+    scope = F.element_at(F.array(F.lit("GENERAL"), *[F.lit(t[1]) for t in TYPES[:4]]), (1 + k % 5).cast("int"))
+    shorts = F.array(*[F.lit(t[2]) for t in TYPES])
+    mention = F.when(k % 3 == 0, F.concat(F.lit(" see R_"), F.element_at(shorts, (1 + k % 5).cast("int")), F.lit("_00"), 1 + k % 9)).otherwise(
+        F.when(k % 3 == 1, F.lit(" about currency and VENDOR stamp")).otherwise(""))
+    return b.select(
+        scope.alias("invoice_type_id"), k.alias("line_no"),
+        F.concat(F.lit("- [L"), F.lpad(k.cast("string"), 3, "0"), F.lit("] [2024-01-01] "), F.regexp_replace("text", r"\s+", " "), mention).alias("text"))
