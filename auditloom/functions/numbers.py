@@ -11,79 +11,71 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .blanks import null_word, squeeze
+from .blanks import squeeze
 
 # Fixed patterns.
 NUMBER_TOKEN = r"[+-]?\d[\d.,]*"
 PLAIN_NUMBER = r"^[+-]?\d+(\.\d*)?$"
 TAG = r"<[^>]+>"
-NBSP = "&nbsp;|&#160;| "
+NBSP = "&nbsp;|&#160;|\u00a0"
+MARKUP = f"{TAG}|{NBSP}"
 
+# Which separators a number text holds.
+BOTH = r"(?s),.*\.|\..*,"
+COMMA_LAST = r"(?s)\..*,[^.]*$"
+DOT_LAST = r"(?s),.*\.[^,]*$"
+MANY_COMMAS = r"(?s),.*,"
+EARLIER_DOT = r"(?s)\.(?=.*\.)"
 
-def _to_double(token: Column) -> Column:
-    # The guard keeps Java suffixes such as "5d" from being read as numbers.
-    return F.when(token.rlike(PLAIN_NUMBER), token.try_cast("double"))
-
-
-def _occurrences(text: Column, mark: str) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
-
-
-def _drop(text: Column, mark: str) -> Column:
-    return F.replace(text, F.lit(mark), F.lit(""))
+# Each step below mentions its input as few times as it can: Catalyst copies an
+# expression into every mention, and these steps nest.
 
 
-def _comma_to_dot(text: Column) -> Column:
-    return F.replace(text, F.lit(","), F.lit("."))
+def _to_double(token: Column) -> Column:
+    # Extraction leaves nothing of suffixes such as "5d" that a cast would accept.
+    return F.regexp_extract(token, PLAIN_NUMBER, 0).try_cast("double")
 
 
-def _only_last_dot(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?s)\.(?=.*\.)", "")
+def _commas_are_decimals(text: Column) -> Column:
+    return F.translate(text, ",.", ".")
 
 
-def _single_separator(text: Column) -> Column:
-    """Resolve text holding only commas, only dots, or neither."""
-    return (
-        F.when(_occurrences(text, ",") == 1, _comma_to_dot(text))
-        .when(_occurrences(text, ",") > 1, _drop(text, ","))
-        .otherwise(_only_last_dot(text))
-    )
+def _no_commas(text: Column) -> Column:
+    return F.translate(text, ",", "")
 
 
-def _has_both(text: Column) -> Column:
-    return text.contains(",") & text.contains(".")
+def _one_kind(text: Column) -> Column:
+    """A lone comma is the decimal mark; of several dots only the last one is."""
+    return F.regexp_replace(F.translate(text, ",", "."), EARLIER_DOT, "")
 
 
 def rule_number(value: Column) -> Column:
     """Number in OCR text for rule checks, or null when there is none."""
-    raw = squeeze(value.cast("string"))
-    bare = squeeze(F.regexp_replace(F.regexp_replace(raw, TAG, ""), NBSP, " "))
-    accounting = bare.startswith("(") & bare.endswith(")")
-    inner = F.when(accounting, F.regexp_replace(bare, r"^\(|\)$", "")).otherwise(bare)
-    packed = F.regexp_replace(F.regexp_replace(inner, "[€$£ ]", ""), "%+$", "")
-    token = F.regexp_extract(packed, NUMBER_TOKEN, 0)
-    plain = F.when(_has_both(token), _comma_to_dot(_drop(token, "."))).otherwise(
-        _single_separator(token)
-    )
-    number = _to_double(plain)
-    return F.when(
-        ~null_word(raw) & ~null_word(bare), F.when(accounting, -number).otherwise(number)
+    text = value.cast("string")
+    token = F.regexp_extract(F.regexp_replace(text, f"{MARKUP}|[ €$£]", ""), NUMBER_TOKEN, 0)
+    plain = (
+        F.when(token.rlike(BOTH), _commas_are_decimals(token))
+        .when(token.rlike(MANY_COMMAS), _no_commas(token))
+        .otherwise(_one_kind(token))
     )
+    accounting = text.contains("(") & F.regexp_replace(text, f"{MARKUP}| ", "").rlike(r"(?s)^\s*\(.*\)\s*$")
+    sign = F.when(accounting, -1.0).otherwise(1.0)
+    return sign * _to_double(plain)
 
 
 def _rightmost_decimal(text: Column) -> Column:
-    both = F.when(text.rlike(r",[^.]*$"), _comma_to_dot(_drop(text, "."))).otherwise(
-        _drop(text, ",")
+    return (
+        F.when(text.rlike(COMMA_LAST), _commas_are_decimals(text))
+        .when(text.rlike(DOT_LAST) | text.rlike(MANY_COMMAS), _no_commas(text))
+        .otherwise(_one_kind(text))
     )
-    return F.when(_has_both(text), both).otherwise(_single_separator(text))
 
 
 def score_number(value: Column) -> Column:
     """Number in text for scoring, or null when there is none."""
-    raw = squeeze(value.cast("string"))
-    packed = F.regexp_replace(raw, "[ €$£%]", "")
+    packed = F.regexp_replace(squeeze(value.cast("string")), "[ €$£%]", "")
     token = F.regexp_extract(_rightmost_decimal(packed), NUMBER_TOKEN, 0)
-    return F.when(~null_word(raw), _to_double(_rightmost_decimal(token)))
+    return _to_double(_rightmost_decimal(token))
 
 
 def clamp_unit(confidence: Column, default: float = 0.5) -> Column:

@@ -26,7 +26,9 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = build_session("bench", f"local[{cpus}]", **{
-        "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": os.environ.get("BENCH_MEMORY", "12g"), "spark.ui.showConsoleProgress": "false"})
+        "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": os.environ.get("BENCH_MEMORY", "12g"), "spark.ui.showConsoleProgress": "false",
+        # Small test data, heavy expressions: keep all local cores busy after a shuffle.
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k"})
     spark.sparkContext.setLogLevel("OFF")
     queries = load_all()
     names = sys.argv[1:] or HEADLINE
@@ -36,6 +38,7 @@ def main() -> None:
         started = time.perf_counter()
         queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         timings[name] = round(time.perf_counter() - started, 3)
+        print(name, timings[name], file=sys.stderr, flush=True)
     print(json.dumps({"metric": "headline audit queries, total wall time", "value": round(sum(timings.values()), 3), "unit": "sec",
                       "queries": timings, "sf": Path(sf_dir).name.removeprefix("sf")}))
     spark.stop()
