@@ -14,11 +14,9 @@ from auditloom.plans.registry import load_all
 from auditloom.session import build_session
 
 HEADLINE = (
-    "merge_extractions", "normalize_numeric", "evaluate_rules", "compliance_report", "canonical_invoice_summary",
-    "canonical_compliance_results", "compliance_matrix", "review_queue", "review_issues", "dashboard", "rule_guide",
-    "link_pages", "evidence_slots", "localize_values", "compare_value", "score_documents", "match_truth_by_name",
-    "duplicate_action_streak", "consecutive_failures", "token_cap", "decide_claim", "ledger_latest", "parse_learnings",
-    "contained_learnings",
+    "merge_extractions", "normalize_numeric", "evaluate_rules", "canonical_invoice_summary", "compliance_matrix", "review_queue",
+    "link_pages", "localize_values", "compare_value", "match_truth_by_name", "duplicate_action_streak", "token_cap",
+    "decide_claim", "parse_learnings",
 )
 
 

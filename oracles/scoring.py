@@ -28,11 +28,11 @@ CASE WHEN truth_value IS NULL THEN 'no ground truth provided for this field' WHE
   WHEN field_name <> 'invoice_date' AND en IS NOT NULL AND tn IS NOT NULL THEN printf('numeric diff: %.4f', {_ABS})
   WHEN field_name = 'invoice_date' THEN CASE WHEN ed = td THEN '' ELSE 'date mismatch: ''' || ed || ''' vs ''' || td || '''' END
   WHEN field_name = 'payment_method' AND value_text = '12/05' THEN 'extracted looks like a date fragment — use payer line or bank/cash wording' WHEN pa_ THEN 'partial match' WHEN ex_ THEN '' ELSE 'mismatch' END AS note FROM pr4),
-cm AS (SELECT *, note = 'partial match' AS partial, CASE WHEN match IS NULL THEN NULL WHEN match THEN 'exact' WHEN note = 'partial match' THEN 'partial' WHEN note = 'field not extracted' THEN 'not_extracted' ELSE 'wrong_value' END AS o FROM cmp)"""])
+cm AS MATERIALIZED (SELECT *, note = 'partial match' AS partial, CASE WHEN match IS NULL THEN NULL WHEN match THEN 'exact' WHEN note = 'partial match' THEN 'partial' WHEN note = 'field not extracted' THEN 'not_extracted' ELSE 'wrong_value' END AS o FROM cmp)"""])
 COMPARED = (*FR, TRUTH, EXTRACTED, COMPARE)
-SCORES = """sc AS (SELECT doc_id, count(*) FILTER (o = 'exact') AS fields_exact, count(*) FILTER (o = 'partial') AS fields_partial, count(*) FILTER (o = 'not_extracted') AS fields_not_extracted, count(*) FILTER (o = 'wrong_value') AS fields_wrong_value, count(o) AS fields_total FROM cm GROUP BY doc_id)"""
+SCORES = """sc AS MATERIALIZED (SELECT doc_id, count(*) FILTER (o = 'exact') AS fields_exact, count(*) FILTER (o = 'partial') AS fields_partial, count(*) FILTER (o = 'not_extracted') AS fields_not_extracted, count(*) FILTER (o = 'wrong_value') AS fields_wrong_value, count(o) AS fields_total FROM cm GROUP BY doc_id)"""
 TRULES = "tr AS (SELECT doc_id, rule_id, CASE (doc_id + rule_order) % 3 WHEN 0 THEN 'passed' WHEN 1 THEN 'failed' ELSE '' END AS truth_status FROM docs JOIN rules USING (invoice_type_id))"
-RSCORE = "rs AS (SELECT tr.doc_id, count(*) FILTER (status = truth_status) AS rules_correct, count(*) AS rules_total FROM tr LEFT JOIN e0 ON e0.doc_id = tr.doc_id AND e0.rule_id = tr.rule_id WHERE truth_status <> '' GROUP BY tr.doc_id)"
+RSCORE = "rs AS MATERIALIZED (SELECT tr.doc_id, count(*) FILTER (status = truth_status) AS rules_correct, count(*) AS rules_total FROM tr LEFT JOIN e0 ON e0.doc_id = tr.doc_id AND e0.rule_id = tr.rule_id WHERE truth_status <> '' GROUP BY tr.doc_id)"
 FILES = """tf AS (SELECT p_partkey AS line_no, CASE WHEN p_partkey % 10 = 0 THEN 'gd' || p_partkey END AS source_id, CASE WHEN p_partkey % 20 = 0 THEN CAST(p_partkey % 5 AS VARCHAR) END AS revision_id,
   CASE WHEN p_partkey % 50 = 2 THEN p_type ELSE p_name || ' ' || p_brand END AS source_name FROM part WHERE p_partkey % 2 = 0),
 nd AS (SELECT l_orderkey AS doc_id, 'gd' || p_partkey AS source_id, CAST(l_orderkey % 5 AS VARCHAR) AS revision_id, CASE l_orderkey % 3 WHEN 0 THEN p_name || '-' || p_brand || '-' || l_orderkey WHEN 1 THEN p_type || ' ' || p_name ELSE p_brand END AS nm
