@@ -67,12 +67,9 @@ def contained_in(new: DataFrame, existing: DataFrame, new_id: str = "new_id") ->
     impossible and drops out.
     """
     texts = existing.select(F.lower("content").alias("_t")).distinct()
-    widths = F.array(F.lit(16), F.lit(4), F.lit(1))
-    cut = texts.select("_t", F.explode(widths).alias("_w")).select(
-        "_t", "_w", F.explode(F.array_distinct(F.transform(
-            F.sequence(F.lit(0), F.floor(F.length("_t") / F.col("_w")).cast("int")),
-            lambda i: F.substr(F.col("_t"), i * F.col("_w") + 1, F.col("_w"))))).alias("_b"))
-    cut = cut.filter(F.length("_b") == F.col("_w"))
+    cut = texts.select("_t", F.explode(F.array(*[
+        F.struct(F.lit(w).alias("_w"), F.array_distinct(F.regexp_extract_all("_t", F.lit(f"(?s).{{{w}}}"), F.lit(0))).alias("_bs"))
+        for w in (16, 4, 1)])).alias("_c")).select("_t", F.col("_c._w").alias("_w"), F.explode("_c._bs").alias("_b"))
     wanted = new.select(F.col(new_id), F.lower(squeeze(F.col("content"))).alias("_n")).filter("_n <> ''").withColumn("_w", _width(F.col("_n")))
     aligned = wanted.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_w") - 1)))
     blocks = aligned.select(new_id, "_n", "_w", "_o", F.explode(F.transform(
@@ -136,7 +133,7 @@ def reset_learnings(learnings: DataFrame, invoice_type_id: str = "", category: s
 
 def first_occurrence(rows: DataFrame, value: str, order: str) -> DataFrame:
     """Distinct values up to case, keeping the earliest; order values are unique."""
-    folded = F.lower(F.upper(value))  # full case folding: sharp s equals ss
+    folded = F.replace(F.lower(value), F.lit("ß"), F.lit("ss"))  # full case folding of the sharp s
     first = rows.groupBy(folded.alias("_k")).agg(F.min(order).alias("_o"))
     return rows.join(first.select(F.col("_o").alias(order)), order, "left_semi")
 
