@@ -59,3 +59,10 @@ def row_key(*columns: Column) -> Column:
 def let(value: Column, body) -> Column:
     """``body`` of a value computed once, for use inside a lambda, where ``staged`` is out of reach."""
     return F.transform(F.array(value), body)[0]
+
+
+def tokenizer_file(name: str) -> str:
+    """Path of a public vocabulary file, the same on all machines."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

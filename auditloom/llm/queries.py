@@ -5,17 +5,31 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tokenizer_file
 from .mixing import mix
+from .packing import pack
 from .quality_rules import quality_report
 from .secrets import secrets_report
+from .token_counts import prefix_counts
+
+TOKEN_LIMIT = 4096
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = prefix_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), TOKEN_LIMIT, keep_table=False)
+    return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_report(table(spark, sf_dir, "documents"))
 
@@ -25,4 +39,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op3_mix_sources, op9_secret_scan, op10_quality_rules)}
+    op1_token_counts, op3_mix_sources, op5_best_fit_packing, op9_secret_scan, op10_quality_rules)}
