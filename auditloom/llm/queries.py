@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table, tokenizer_file
 from .mixing import mix
+from .near_dedup import near_duplicates
 from .packing import pack
 from .quality_rules import quality_report
 from .secrets import secrets_report
@@ -30,6 +31,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_report(table(spark, sf_dir, "documents"))
 
@@ -39,4 +44,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_token_counts, op3_mix_sources, op5_best_fit_packing, op9_secret_scan, op10_quality_rules)}
+    op1_token_counts, op3_mix_sources, op5_best_fit_packing, op8_near_duplicates, op9_secret_scan, op10_quality_rules)}
