@@ -3,8 +3,10 @@
 Texts with equal shingle sets are one class, found by a 128-bit key of the set; what follows works on
 one representative per class. Signatures are cut into bands; equal bands make candidates. In a first
 round each member of a bucket meets only the bucket's smallest member, so a group of thousands costs
-one pair per member. In a second round, what is not yet connected inside a bucket meets across the
-components, so no candidate link between different groups is lost.
+one pair per member. In further rounds, what is not yet connected inside a bucket meets across the
+components: signatures are compared block by block, each id's most similar partners are confirmed
+first, and rounds go on with four times as many until nothing plausible is left untested. So no
+candidate link between different groups is lost, yet pairs inside a group are never written out.
 
 A pair is judged by batches of its signatures: with m of n equal and a uniform prior, the similarity is
 beta distributed and P(similarity >= threshold) is a binomial tail; below ``MISS`` the pair is dropped.
@@ -36,13 +38,18 @@ SHINGLE_WORDS = 5
 PERCENT = 75
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
+#: Signatures for the rounds inside buckets, where many pairs lie just below the threshold.
+LONG_HASHES = 768
 #: Chance to drop a link at one look at the signatures, and signatures per look.
-MISS = 1e-7
+MISS = 1e-5
 BATCH = 16
+#: Ids of one block of a bucket; pairs of an id and block that the second round tests first.
+BLOCK = 512
+PER_ID = 4
 SLICE_BYTES = 1 << 20
 _RNG = np.random.default_rng(7)
-_MULTIPLY = _RNG.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _RNG.integers(0, 2**63, HASHES, dtype=np.uint64)
+_MULTIPLY = _RNG.integers(0, 2**63, LONG_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _RNG.integers(0, 2**63, LONG_HASHES, dtype=np.uint64)
 _K = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -81,12 +88,12 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return sets
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """Minima of ``HASHES`` hash functions over a set, 32 bits each."""
-    best = np.full(HASHES, 2**32 - 1, np.uint32)
+def signature(shingles: np.ndarray, hashes: int = HASHES) -> np.ndarray:
+    """Minima of so many hash functions over a set, 32 bits each."""
+    best = np.full(hashes, 2**32 - 1, np.uint32)
     for at in range(0, len(shingles), 2048):
-        part = shingles[None, at:at + 2048] * _MULTIPLY[:, None]
-        part += _ADD[:, None]
+        part = shingles[None, at:at + 2048] * _MULTIPLY[:hashes, None]
+        part += _ADD[:hashes, None]
         best = np.minimum(best, (part >> np.uint64(32)).astype(np.uint32).min(axis=1))
     return best
 
@@ -125,18 +132,31 @@ def band_rows(classes: DataFrame) -> DataFrame:
     return classes.select("id", "bands").mapInArrow(run, "band bigint, id bigint")
 
 
-def least_matches(threshold: float = PERCENT / 100, miss: float = MISS) -> dict[int, int]:
-    """Per number of signatures looked at, the fewest matches that leave P(similarity >= threshold) >= miss."""
-    found = {}
-    for n in range(BATCH, HASHES + 1, BATCH):
+def least_matches(hashes: int = HASHES, threshold: float = PERCENT / 100, miss: float = MISS) -> list[tuple[int, int, int]]:
+    """Looks (from, to, fewest matches up to there that leave P(similarity >= threshold) >= miss); they grow by halves."""
+    found, start = [], 0
+    while start < hashes:
+        n = min(hashes, max(BATCH, start + start // 2))
         tail, m = 0.0, -1
         while tail < miss:
             m += 1
-            tail += math.comb(n + 1, m) * threshold**m * (1 - threshold) ** (n + 1 - m)
-        found[n] = m
+            tail += math.exp(math.lgamma(n + 2) - math.lgamma(m + 1) - math.lgamma(n + 2 - m) + m * math.log(threshold) + (n + 1 - m) * math.log(1 - threshold))
+        found.append((start, n, m))
+        start = n
     return found
 
 
+def long_signatures(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, signs): ``LONG_HASHES`` signatures of 16 bits for the given ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            signs = [signature(np.frombuffer(x.as_buffer(), np.uint64), LONG_HASHES).astype(np.uint16).tobytes() for x in batch.column("shingles")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(signs, pa.binary())], ["id", "signs"])
+
+    return sets.join(ids, "id", "left_semi").select("id", "shingles").mapInArrow(run, "id bigint, signs binary")
+
+
 def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) that the sequential look at their signatures doesn't rule out."""
     bounds = least_matches()
@@ -146,8 +166,8 @@ def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             left = np.frombuffer(b"".join(batch.column("sa").to_pylist()), np.uint16).reshape(-1, HASHES)
             right = np.frombuffer(b"".join(batch.column("sb").to_pylist()), np.uint16).reshape(-1, HASHES)
             alive, matches = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64)
-            for n, least in bounds.items():
-                matches[alive] += (left[alive, n - BATCH:n] == right[alive, n - BATCH:n]).sum(axis=1)
+            for start, n, least in bounds:
+                matches[alive] += (left[alive, start:n] == right[alive, start:n]).sum(axis=1)
                 alive = alive[matches[alive] >= least]
             yield batch.take(pa.array(alive)).select(["a", "b"])
 
@@ -186,6 +206,81 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(two, "b").join(one, "a").select("a", "b", "xa", "xb").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Runs of equal keys in sorted batches, each whole."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        rest = pa.Table.from_batches(([*rest.to_batches(), batch] if rest is not None else [batch]))
+        rows = rest.num_rows
+        if not rows:
+            continue
+        change = np.zeros(rows - 1, bool)
+        for k in keys:
+            column = rest.column(k).to_numpy()
+            change |= column[1:] != column[:-1]
+        cuts = [0, *(np.nonzero(change)[0] + 1)]
+        whole = rest.combine_chunks()
+        for start, stop in zip(cuts, cuts[1:], strict=False):
+            yield from whole.slice(start, stop - start).to_batches()
+        rest = whole.slice(cuts[-1])
+    if rest is not None and rest.num_rows:
+        yield from rest.combine_chunks().to_batches()
+
+
+def block_pairs(placed: DataFrame, signs: DataFrame, per_id: int) -> DataFrame:
+    """(a, b, more): plausible pairs across components inside buckets, the ``per_id`` most similar of each id and block.
+
+    A bucket is cut into blocks of about ``BLOCK`` ids and each pair of blocks is one piece of work, so
+    neither a task nor a group grows with the bucket. ``more`` tells that a block had further pairs.
+    """
+    bounds = least_matches(LONG_HASHES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches, ["band", "lo", "hi"]):
+            ids, comps = g.column("id").to_numpy(), g.column("component").to_numpy()
+            signs = np.frombuffer(b"".join(g.column("signs").to_pylist()), np.uint16).reshape(-1, LONG_HASHES)
+            own, lo, hi = g.column("own").to_numpy(), g.column("lo")[0].as_py(), g.column("hi")[0].as_py()
+            if lo == hi:
+                i, j = np.triu_indices(len(ids), 1)
+            else:
+                i, j = (x.ravel() for x in np.meshgrid(np.nonzero(own == lo)[0], np.nonzero(own == hi)[0], indexing="ij"))
+            keep = comps[i] != comps[j]
+            i, j = i[keep], j[keep]
+            same = np.zeros(len(i), np.int64)
+            for start, n, least in bounds:
+                part = signs[:, start:n]
+                for at in range(0, len(i), 1 << 16):
+                    same[at:at + (1 << 16)] += (part[i[at:at + (1 << 16)]] == part[j[at:at + (1 << 16)]]).sum(axis=1)
+                keep = same >= least
+                i, j, same = i[keep], j[keep], same[keep]
+            if not len(i):
+                continue
+            best = np.argsort(-same, kind="stable")
+            i, j = i[best], j[best]
+            chosen = (_rank_in(i) < per_id) | (_rank_in(j) < per_id)
+            more = np.zeros(int(chosen.sum()), bool)
+            more[:1] = not chosen.all()
+            x, y = ids[i[chosen]], ids[j[chosen]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(more)], ["a", "b", "more"])
+
+    sizes = placed.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = placed.select("band", "id", "component").join(sizes, "band").join(signs, "id")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "component", "signs")
+    return rows.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi").mapInArrow(run, "a bigint, b bigint, more boolean")
+
+
+def _rank_in(keys: np.ndarray) -> np.ndarray:
+    """How many earlier entries have the same key."""
+    order = np.argsort(keys, kind="stable")
+    first = np.concatenate([[True], keys[order][1:] != keys[order][:-1]])
+    rank = np.empty(len(keys), np.int64)
+    at = np.arange(len(keys))
+    rank[order] = at - np.maximum.accumulate(np.where(first, at, 0))
+    return rank
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id and kept."""
     signed = materialize(signatures(docs), "signed")
@@ -197,20 +292,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = materialize(bands.join(leaders, "band"), "members")
     star = members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     tested = materialize(plausible(star, classes), "plausible")
-    sets = materialize(full_sets(docs, tested.select(F.col("a").alias("id")).union(tested.select("b")).distinct()), "sets")
+    sets = materialize(full_sets(docs, members.select("id").distinct()), "sets")
     links = materialize(confirmed(tested, sets), "links")
-    first = components(links)
-    # what shares a bucket and is in different components, beyond the pairs with the leader
-    placed = members.join(first, "id", "left").select("band", "id", "leader", F.coalesce("component", "id").alias("component"))
-    mixed_up = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-    placed = materialize(placed.where("id <> leader").join(mixed_up, "band"), "placed")
-    other = placed.select("band", F.col("id").alias("b"), F.col("component").alias("cb"))
-    cross = placed.join(other, "band").where("id < b and component <> cb").select(F.col("id").alias("a"), "b").distinct()
-    more = materialize(plausible(cross, classes), "plausible")
-    if not more.isEmpty():
-        sets = materialize(full_sets(docs, more.select(F.col("a").alias("id")).union(more.select("b")).distinct()), "sets")
-        first = components(links.union(confirmed(more, sets)))
-    labels = classes.join(first, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
+    per_id, signs = PER_ID, None
+    while True:
+        labels = components(links)
+        placed = members.join(labels, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
+        open_bands = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
+        placed = placed.join(open_bands, "band")
+        if signs is None:  # the first round's open buckets hold those of all later rounds
+            signs = materialize(long_signatures(sets, placed.select("id").distinct()), "signs")
+        found = materialize(block_pairs(placed, signs, per_id), "pairs")
+        fresh = materialize(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "fresh")
+        if fresh.isEmpty() and found.where("more").isEmpty():
+            break
+        tested = tested.union(fresh)
+        links = links.union(materialize(confirmed(fresh, sets), "links"))
+        per_id *= 4
+    labels = classes.join(labels, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
     out = signed.select("doc_id", "n_shingles", "set_key").join(labels, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
