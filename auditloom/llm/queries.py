@@ -12,6 +12,7 @@ from .mixing import mix
 from .near_dedup import near_duplicates
 from .packing import pack
 from .quality_rules import quality_report
+from .repeated_spans import remove_repeats
 from .secrets import secrets_report
 from .token_counts import prefix_counts
 
@@ -31,6 +32,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), keep_spans=False)
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -44,4 +49,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_token_counts, op3_mix_sources, op5_best_fit_packing, op8_near_duplicates, op9_secret_scan, op10_quality_rules)}
+    op1_token_counts, op3_mix_sources, op5_best_fit_packing, op6_suffix_dedup, op8_near_duplicates, op9_secret_scan, op10_quality_rules)}
