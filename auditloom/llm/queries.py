@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, tokenizer_file
+from .html_text import extract_text
 from .mixing import mix
 from .near_dedup import near_duplicates
 from .packing import pack
@@ -36,6 +37,10 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), keep_spans=False)
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -49,4 +54,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_token_counts, op3_mix_sources, op5_best_fit_packing, op6_suffix_dedup, op8_near_duplicates, op9_secret_scan, op10_quality_rules)}
+    op1_token_counts, op3_mix_sources, op5_best_fit_packing, op6_suffix_dedup, op7_html_extraction, op8_near_duplicates, op9_secret_scan, op10_quality_rules)}
