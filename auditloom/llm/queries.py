@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, tokenizer_file
+from .exact_search import top_k
 from .html_text import extract_text
 from .mixing import mix
 from .near_dedup import near_duplicates
@@ -16,6 +17,7 @@ from .quality_rules import quality_report
 from .repeated_spans import remove_repeats
 from .secrets import secrets_report
 from .token_counts import prefix_counts
+from .toxicity import toxicity
 
 TOKEN_LIMIT = 4096
 
@@ -25,10 +27,18 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op4_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
@@ -54,4 +64,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_token_counts, op3_mix_sources, op5_best_fit_packing, op6_suffix_dedup, op7_html_extraction, op8_near_duplicates, op9_secret_scan, op10_quality_rules)}
+    op1_token_counts, op2_toxicity, op3_mix_sources, op4_exact_search, op5_best_fit_packing, op6_suffix_dedup, op7_html_extraction, op8_near_duplicates, op9_secret_scan, op10_quality_rules)}
