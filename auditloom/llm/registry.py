@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import queries
 from .sql import ORACLE_SQL
 
-QUERIES = dict(queries.QUERIES)
+QUERIES = {**queries.QUERIES, "pipeline": corpus_pipeline.run}
 
 __all__ = ["QUERIES", "ORACLE_SQL"]
