@@ -227,25 +227,26 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.R
         yield from rest.combine_chunks().to_batches()
 
 
-def block_pairs(placed: DataFrame, signs: DataFrame, per_id: int) -> DataFrame:
-    """(a, b, more): plausible pairs across components inside buckets, the ``per_id`` most similar of each id and block.
+def block_pairs(placed: DataFrame, signs: DataFrame, classes: DataFrame, above: int, per_id: int) -> DataFrame:
+    """(a, b, more): plausible pairs across components inside buckets, ranked ``above`` to ``per_id`` of an id in its block.
 
     A bucket is cut into blocks of about ``BLOCK`` ids and each pair of blocks is one piece of work, so
-    neither a task nor a group grows with the bucket. ``more`` tells that a block had further pairs.
+    neither a task nor a group grows with the bucket. A pair belongs to the first band that its ids
+    share and keeps its rank, so all rounds together give it once. ``more``: a block had further pairs.
     """
     bounds = least_matches(LONG_HASHES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _groups(batches, ["band", "lo", "hi"]):
+            g = g.take(pa.array(np.argsort(g.column("id").to_numpy(), kind="stable")))  # the same order, hence ranks, in each round
             ids, comps = g.column("id").to_numpy(), g.column("component").to_numpy()
             signs = np.frombuffer(b"".join(g.column("signs").to_pylist()), np.uint16).reshape(-1, LONG_HASHES)
+            bands = np.frombuffer(b"".join(g.column("bands").to_pylist()), np.int64).reshape(-1, BANDS)
             own, lo, hi = g.column("own").to_numpy(), g.column("lo")[0].as_py(), g.column("hi")[0].as_py()
             if lo == hi:
                 i, j = np.triu_indices(len(ids), 1)
             else:
                 i, j = (x.ravel() for x in np.meshgrid(np.nonzero(own == lo)[0], np.nonzero(own == hi)[0], indexing="ij"))
-            keep = comps[i] != comps[j]
-            i, j = i[keep], j[keep]
             same = np.zeros(len(i), np.int64)
             for start, n, least in bounds:
                 part = signs[:, start:n]
@@ -253,21 +254,28 @@ def block_pairs(placed: DataFrame, signs: DataFrame, per_id: int) -> DataFrame:
                     same[at:at + (1 << 16)] += (part[i[at:at + (1 << 16)]] == part[j[at:at + (1 << 16)]]).sum(axis=1)
                 keep = same >= least
                 i, j, same = i[keep], j[keep], same[keep]
+            if len(i):  # only in the first band that the pair shares
+                first = np.concatenate([(bands[i[at:at + (1 << 16)]] == bands[j[at:at + (1 << 16)]]).argmax(axis=1) for at in range(0, len(i), 1 << 16)])
+                keep = bands[i, first] == g.column("band")[0].as_py()
+                i, j, same = i[keep], j[keep], same[keep]
             if not len(i):
                 continue
             best = np.argsort(-same, kind="stable")
             i, j = i[best], j[best]
-            chosen = (_rank_in(i) < per_id) | (_rank_in(j) < per_id)
-            more = np.zeros(int(chosen.sum()), bool)
-            more[:1] = not chosen.all()
+            rank = np.minimum(_rank_in(i), _rank_in(j))
+            across = comps[i] != comps[j]
+            chosen = across & (rank >= above) & (rank < per_id)
             x, y = ids[i[chosen]], ids[j[chosen]]
+            more = np.zeros(len(x), bool)
+            if (across & (rank >= per_id)).any():
+                x, y, more = np.append(x, 0), np.append(y, 0), np.append(more, True)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(more)], ["a", "b", "more"])
 
     sizes = placed.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = placed.select("band", "id", "component").join(sizes, "band").join(signs, "id")
+    rows = placed.select("band", "id", "component").join(sizes, "band").join(signs, "id").join(classes.select("id", "bands"), "id")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "component", "signs")
+    rows = rows.select("band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "component", "signs", "bands")
     return rows.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi").mapInArrow(run, "a bigint, b bigint, more boolean")
 
 
@@ -294,7 +302,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tested = materialize(plausible(star, classes), "plausible")
     sets = materialize(full_sets(docs, members.select("id").distinct()), "sets")
     links = materialize(confirmed(tested, sets), "links")
-    per_id, signs = PER_ID, None
+    above, per_id, signs = 0, PER_ID, None
     while True:
         labels = components(links)
         placed = members.join(labels, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
@@ -302,13 +310,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         placed = placed.join(open_bands, "band")
         if signs is None:  # the first round's open buckets hold those of all later rounds
             signs = materialize(long_signatures(sets, placed.select("id").distinct()), "signs")
-        found = materialize(block_pairs(placed, signs, per_id), "pairs")
-        fresh = materialize(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "fresh")
+        found = materialize(block_pairs(placed, signs, classes, above, per_id), "pairs")
+        fresh = materialize(found.where("not more").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "fresh")
         if fresh.isEmpty() and found.where("more").isEmpty():
             break
-        tested = tested.union(fresh)
         links = links.union(materialize(confirmed(fresh, sets), "links"))
-        per_id *= 4
+        above, per_id = per_id, per_id * 8
     labels = classes.join(labels, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
     out = signed.select("doc_id", "n_shingles", "set_key").join(labels, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
