@@ -59,7 +59,7 @@ def mix(docs: DataFrame, carry: list[str] | None = None, share_percent: int = 15
     sized = materialize(docs.select(
         F.struct(*carry).alias("row"), F.col("source").cast("string").alias("source"), F.size(words_of(F.col("text"))).cast("long").alias("size"),
         row_key(F.col("doc_id"), F.col("text").cast("string")).alias("key")), "mix-sized")
-    bits = max(4, math.ceil(math.log2(max(1, sized.count()) / BUCKET_ROWS)))
+    bits = max(7, math.ceil(math.log2(max(1, sized.count()) / BUCKET_ROWS)))
     sized = sized.withColumn("bucket", F.shiftrightunsigned("key", 64 - bits).cast("int"))
     parts = sized.groupBy("source", "bucket").agg(F.sum("size").alias("part_size"))
     targets = source_targets(parts.groupBy("source").agg(F.sum("part_size").alias("source_size")), share_percent, cap)
@@ -81,11 +81,12 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     A cut text is its first words, joined by spaces; ``n_chars`` follows. Columns are those of ``docs``.
     """
-    rows = mix(docs, docs.columns).where("taken > 0")
+    kept = F.struct(*docs.columns).alias("__doc")
+    rows = mix(docs.select("doc_id", "text", "source", kept), ["__doc"]).where("taken > 0")
     rows = rows.withColumn("part", F.explode(F.expr(
         "concat(array_repeat(size, cast(taken div size as int)), if(taken % size > 0, array(taken % size), array()))")))
-    first = F.array_join(F.slice(words_of(F.col("text")), 1, F.col("part").cast("int")), " ")
-    out = rows.withColumn("text", F.when(F.col("part") < F.col("size"), first).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("part") < F.col("size"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    cut = F.col("part") < F.col("size")
+    text = F.when(cut, F.array_join(F.slice(words_of(F.col("__doc.text")), 1, F.col("part").cast("int")), " ")).otherwise(F.col("__doc.text"))
+    out = rows.select("__doc", cut.alias("cut"), text.alias("text"))
+    made = {"text": F.col("text"), "n_chars": F.when(F.col("cut"), F.length("text").cast("long")).otherwise(F.col("__doc")["n_chars"])}
+    return out.select(*[(made[c] if c in made else F.col("__doc")[c]).alias(c) for c in docs.columns])

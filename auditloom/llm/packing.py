@@ -122,7 +122,10 @@ def configurations(histogram: dict[int, int], capacity: int = CAPACITY) -> list[
         covered = 1 - left[lengths] / total[lengths]
         weights[lengths] *= np.exp(STRENGTH * (covered.mean() - covered) / (1 + round_no))
         weights[lengths] *= 1 + 0.01 * np.sin(lengths * (round_no + 1.0))  # breaks ties anew in each round
-    return found + _best_fit(left, capacity)
+    found += _best_fit(left, capacity)
+    # where large pieces decide, rounds that avoid waste lag behind plain best fit: the shorter of both counts
+    plain = _best_fit(total, capacity)
+    return min(found, plain, key=lambda plan: sum(times for _, times in plan))
 
 
 def _best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:

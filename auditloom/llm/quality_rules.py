@@ -89,7 +89,7 @@ def _filled(line: Column) -> Column:
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with a struct ``quality``: the measures, the verdicts and the cleaned text."""
+    """``docs`` with a struct ``__quality``: the measures, the verdicts and the cleaned text."""
     rest = docs.columns
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     q = docs.select(F.struct(*rest).alias("row"), body.alias("body"))
@@ -110,22 +110,22 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     q = staged(q, "left_chars", F.col("word_chars") - F.length(F.array_join(words_of(removed), "")),
                ["row", "n_words", "word_chars", "n_repeat_words", "n_symbols", "filled", "cleaned"])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    q = staged(q, "quality", F.struct(
+    q = staged(q, "__quality", F.struct(
         "n_words", "word_chars", "n_symbols", (F.size("filled") - F.size(F.array_distinct("filled"))).cast("long").alias("n_dup_lines"),
         "n_repeat_words", failed.alias("base_failed"), (~failed & (10 * F.col("left_chars") >= KEEP_TENTHS * F.col("word_chars"))).alias("kept"),
         "left_chars", "cleaned"), ["row"])
-    return q.select(*[F.col("row")[c].alias(c) for c in rest], "quality")
+    return q.select(*[F.col("row")[c].alias(c) for c in rest], "__quality")
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
     """One row per document: measures and verdicts (the cleaned text is left out and not computed twice)."""
     out = measure(docs.select("doc_id", "text"))
-    return out.select("doc_id", *[F.col(f"quality.{m}").alias(m) for m in (*_MEASURES, "base_failed", "kept", "left_chars")])
+    return out.select("doc_id", *[F.col(f"__quality.{m}").alias(m) for m in (*_MEASURES, "base_failed", "kept", "left_chars")])
 
 
 def clean(docs: DataFrame) -> DataFrame:
     """Kept documents with their cleaned text, in the columns of ``docs``."""
-    out = measure(docs).where("quality.kept").withColumn("text", F.col("quality.cleaned"))
+    out = measure(docs).where("__quality.kept").withColumn("text", F.col("__quality.cleaned"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*docs.columns)

@@ -205,7 +205,7 @@ def spans_of(body: Column, rule: Rule, rank: int) -> Column:
 
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with ``secrets``: all spans, by start and then by rule order."""
+    """``docs`` with ``__secrets``: all spans, by start and then by rule order."""
     rest = docs.columns
     rows = docs.select(F.struct(*rest).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("body"),
                        row_key(F.col("doc_id"), F.col("text").cast("string")).alias("key"))
@@ -221,8 +221,8 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             bit = F.coalesce(F.col("bits"), F.lit(0).cast("long")).bitwiseAND(F.lit(1 << kinds.index(rule.kind)).cast("long"))
             spans = F.when(bit != 0, spans).otherwise(F.array().cast(SPAN))
         parts.append(spans)
-    out = staged(rows, "secrets", F.sort_array(F.concat(*parts)), ["row"])
-    return out.select(*[F.col("row")[c].alias(c) for c in rest], "secrets")
+    out = staged(rows, "__secrets", F.sort_array(F.concat(*parts)), ["row"])
+    return out.select(*[F.col("row")[c].alias(c) for c in rest], "__secrets")
 
 
 def spans_text(spans: Column) -> Column:
@@ -235,10 +235,10 @@ def secrets_report(docs: DataFrame) -> DataFrame:
     base = [r.kind for r in RULES if r.base]
 
     def count(kind: str) -> Column:
-        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+        return F.size(F.filter("__secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return found.select("doc_id", *map(count, base), F.sha2(spans_text(F.filter("secrets", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"),
-                        spans_text(F.col("secrets")).alias("spans"))
+    return found.select("doc_id", *map(count, base), F.sha2(spans_text(F.filter("__secrets", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"),
+                        spans_text(F.col("__secrets")).alias("spans"))
 
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
@@ -246,13 +246,13 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     rest = docs.columns
     out = find_secrets(docs)
     gaps = F.aggregate(
-        "secrets", F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,stop:int>>").alias("kept")),
+        "__secrets", F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,stop:int>>").alias("kept")),
         lambda a, s: F.struct(F.greatest(a["end"], s["end"]).alias("end"), F.when(
             (s["start"] < a["end"]) & (a["end"] > 0), a["kept"]).otherwise(F.concat(a["kept"], F.array(F.struct(a["end"].alias("start"), s["start"].alias("stop"))))).alias("kept")))
-    out = staged(out, "gaps", gaps)
-    text = F.concat(F.array_join(F.transform("gaps.kept", lambda g: F.substring("text", g["start"] + 1, g["stop"] - g["start"])), mark),
-                    F.lit(mark), F.expr("substring(text, gaps.end + 1)"))
-    out = out.withColumn("text", F.when(F.size("secrets") > 0, text).otherwise(F.col("text")))
+    out = staged(out, "__gaps", gaps)
+    text = F.concat(F.array_join(F.transform("__gaps.kept", lambda g: F.substring("text", g["start"] + 1, g["stop"] - g["start"])), mark),
+                    F.lit(mark), F.expr("substring(text, __gaps.end + 1)"))
+    out = out.withColumn("text", F.when(F.size("__secrets") > 0, text).otherwise(F.col("text")))
     if "n_chars" in rest:
-        out = out.withColumn("n_chars", F.when(F.size("secrets") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size("__secrets") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*rest)

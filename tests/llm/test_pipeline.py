@@ -1,0 +1,40 @@
+"""The pipeline on the smallest tables, stage by stage, against plain versions."""
+
+from __future__ import annotations
+
+import re
+from collections import Counter
+
+import corpus_pipeline
+from auditloom.llm.common import materialize
+from auditloom.llm.quality_rules import quality_report
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def test_stages_take_effect(spark, small_dir):
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet")
+    columns, kept = docs.columns, [docs]
+    for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        kept.append(materialize(stage(spark, kept[-1], small_dir), f"test-{number}"))
+        if number < 4:
+            assert kept[-1].columns == columns
+    raw, good, single, masked, mixed, packed = kept
+    wanted = {r["doc_id"] for r in quality_report(raw).where("kept").collect()}
+    assert {r["doc_id"] for r in good.collect()} == wanted
+    ids = {r["doc_id"] for r in single.collect()}
+    sets = {}
+    for r in good.collect():
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), r["text"]))
+        sets[r["doc_id"]] = {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))}
+    close = lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
+    assert all(i in ids or any(o < i and close(sets[i], sets[o]) for o in sets) for i in sets)
+    assert not any(close(sets[a], sets[b]) for a in ids for b in ids if a < b)
+    assert not any(re.search("[0-9a-f]{16}|AKIA[A-Z0-9]{14}", r["text"]) for r in masked.collect())
+    words = sum(len(WORD.findall(r["text"])) for r in masked.collect())
+    assert abs(sum(len(WORD.findall(r["text"])) for r in mixed.collect()) - 1.5 * words) <= 20
+    filled = Counter()
+    for r in packed.collect():
+        filled[r["sequence_id"]] += r["length"]
+    assert max(filled.values()) <= 2048 and len(filled) <= sum(filled.values()) / 2048 * 1.02 + 1
+    assert corpus_pipeline.run(spark, small_dir).count() == packed.count()
