@@ -86,8 +86,14 @@ def test_configurations_cover_a_histogram_exactly():
         for n in lengths:
             got[n] += times
     assert got == histogram
-    # no two pieces of more than half a sequence share one
-    least = max(sum(k * v for k, v in histogram.items()) / 2048, sum(v for k, v in histogram.items() if k > 1024))
+    # Martello and Toth's bound: pieces over half a sequence stand alone, smaller ones fill what they leave
+    least = 0
+    for small in range(1025):
+        alone = sum(v for k, v in histogram.items() if k > 2048 - small)
+        large = {k: v for k, v in histogram.items() if 1024 < k <= 2048 - small}
+        room = sum((2048 - k) * v for k, v in large.items())
+        rest = sum(k * v for k, v in histogram.items() if small <= k <= 1024)
+        least = max(least, alone + sum(large.values()) + max(0, -(-(rest - room) // 2048)))
     assert sum(t for _, t in found) <= 1.01 * least + 2
 
 
