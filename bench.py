@@ -16,7 +16,8 @@ from auditloom.session import build_session
 HEADLINE = (
     "merge_extractions", "normalize_numeric", "evaluate_rules", "canonical_invoice_summary", "compliance_matrix", "review_queue",
     "link_pages", "localize_values", "compare_value", "match_truth_by_name", "duplicate_action_streak", "token_cap",
-    "decide_claim", "parse_learnings",
+    "decide_claim", "parse_learnings", "compliance_report", "canonical_compliance_results", "review_issues", "dashboard", "rule_guide",
+    "evidence_slots", "score_documents", "consecutive_failures", "ledger_latest", "contained_learnings",
 )
 
 
