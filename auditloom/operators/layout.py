@@ -19,7 +19,6 @@ UNION_PADDING = 0.02
 
 # Height in pixels of the bands used to turn interval joins into equi joins.
 BAND = 64
-LINES_PER_PART = 50_000
 
 
 def search_terms(fields: DataFrame) -> DataFrame:
@@ -139,14 +138,9 @@ def lines_in_crop(crops: DataFrame, lines: DataFrame, key: str = "region") -> Da
     return meet.filter(F.col("_band") == first_band).select("doc_id", "page_num", key, "line_no", "text")
 
 
-def full_text(lines: DataFrame, keys=("doc_id", "page_num"), lines_per_part: int = LINES_PER_PART) -> DataFrame:
-    """Text of a page from its ordered lines.
-
-    A page of ordinary length is part 0; a longer one continues in further
-    parts, so no task assembles an unbounded list and no line is lost.
-    """
-    part = F.expr(f"line_no div {int(lines_per_part)}").cast("int")
+def full_text(lines: DataFrame, keys=("doc_id", "page_num")) -> DataFrame:
+    """Text of a page, one row each: its lines in order, blank ones left out."""
     ordered = F.array_sort(F.collect_list(F.struct("line_no", "text")))
-    return lines.groupBy(*keys, part.alias("part")).agg(
+    return lines.filter(F.trim("text") != "").groupBy(*keys).agg(
         F.array_join(F.transform(ordered, lambda s: s["text"]), "\n").alias("full_text")
     )

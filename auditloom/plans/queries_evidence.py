@@ -151,4 +151,4 @@ def lines_in_crop(spark, sf_dir):
 def full_text(spark, sf_dir):
     docs = scenario.read(spark, sf_dir, "documents")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
-    return L.full_text(lines, ("doc_id",), 20).select("doc_id", "part", F.md5("full_text").alias("digest"))
+    return L.full_text(lines, ("doc_id",)).select("doc_id", F.md5("full_text").alias("digest"))

@@ -78,5 +78,5 @@ f AS (SELECT * FROM d UNION ALL SELECT * FROM i)""") + "SELECT r.rule_id, CAST(c
 FROM docs d JOIN fields f USING (invoice_type_id) LEFT JOIN loc ON loc.doc_id = d.doc_id AND loc.field_name = f.field_name GROUP BY ALL""",
     "union_boxes": with_(*LAYOUT) + "SELECT doc_id, page_num, region, x1, y1, x2, y2 FROM box",
     "lines_in_crop": with_(*LAYOUT) + "SELECT b.doc_id, b.page_num, region, line_no, text FROM box b JOIN ocr o ON o.doc_id = b.doc_id AND o.x1 < b.x2 AND o.x2 > b.x1 AND o.y1 < b.y2 AND o.y2 > b.y1",
-    "full_text": "SELECT doc_id, CAST((i - 1) // 20 AS INTEGER) AS part, md5(string_agg(t, chr(10) ORDER BY i)) AS digest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) GROUP BY ALL",
+    "full_text": "SELECT doc_id, md5(string_agg(t, chr(10) ORDER BY i)) AS digest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE trim(t) <> '' GROUP BY ALL",
 }
