@@ -7,8 +7,6 @@ splitting.  Nothing here pins a partition count for a particular data size.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -30,24 +28,3 @@ def build_session(app: str = "auditloom", master: str | None = None, **conf: str
     for key, value in {**DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
-
-    A local folder is created only where the setting is absent, which is the
-    case in tests on a single machine.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    local = tempfile.mkdtemp(prefix="auditloom-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
-
-
-def cut_lineage(df):
-    """Reliable checkpoint into the shared folder (survives lost executors)."""
-    spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)

@@ -21,6 +21,14 @@ GUARD_OUTPUT = "run_id bigint, seq bigint, streak bigint, signal string, cumulat
 CLAIM_OUTPUT = "key string, seq bigint, reason string, claimable boolean, status string, attempts int, version int"
 
 
+def _in_order(rows: Iterator[pd.DataFrame]) -> Iterator:
+    """A key's events of one micro-batch in the order of ``seq``, whatever Arrow batches they came in.
+
+    They are held together; ``maxFilesPerTrigger`` of the source bounds them.
+    """
+    return pd.concat(list(rows)).sort_values("seq", kind="stable").itertuples()
+
+
 class GuardProcessor(StatefulProcessor):
     """Repeat streak and token total of a run."""
 
@@ -29,19 +37,18 @@ class GuardProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         sig, streak, tokens = self._state.get() if self._state.exists() else ("", 0, 0)
-        for batch in rows:
-            out = []
-            for row in batch.sort_values("seq").itertuples():
-                tokens += int(row.tokens)
-                signal = None
-                if row.tool == EXEMPT_TOOL:
-                    streak = 0
-                else:
-                    streak = streak + 1 if row.signature == sig else 0
-                    sig = row.signature
-                    signal = "stop" if streak >= STOP_REPEATS else "warn" if streak >= WARN_REPEATS else None
-                out.append((key[0], int(row.seq), streak, signal, tokens))
-            yield pd.DataFrame(out, columns=["run_id", "seq", "streak", "signal", "cumulative_tokens"])
+        out = []
+        for row in _in_order(rows):
+            tokens += int(row.tokens)
+            signal = None
+            if row.tool == EXEMPT_TOOL:
+                streak = 0
+            else:
+                streak = streak + 1 if row.signature == sig else 0
+                sig = row.signature
+                signal = "stop" if streak >= STOP_REPEATS else "warn" if streak >= WARN_REPEATS else None
+            out.append((key[0], int(row.seq), streak, signal, tokens))
+        yield pd.DataFrame(out, columns=["run_id", "seq", "streak", "signal", "cumulative_tokens"])
         self._state.update((sig, streak, tokens))
 
     def close(self) -> None:
@@ -59,12 +66,11 @@ class ClaimProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = self._state.get() if self._state.exists() else None
-        for batch in rows:
-            out = []
-            for row in batch.sort_values("seq").itertuples():
-                held, reason, claimable = _step(held, row.action, float(row.now))
-                out.append((key[0], int(row.seq), reason, claimable, held[0], held[1], held[3]))
-            yield pd.DataFrame(out, columns=["key", "seq", "reason", "claimable", "status", "attempts", "version"])
+        out = []
+        for row in _in_order(rows):
+            held, reason, claimable = _step(held, row.action, float(row.now))
+            out.append((key[0], int(row.seq), reason, claimable, held[0], held[1], held[3]))
+        yield pd.DataFrame(out, columns=["key", "seq", "reason", "claimable", "status", "attempts", "version"])
         if held is not None:
             self._state.update(held)
 
