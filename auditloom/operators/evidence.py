@@ -8,17 +8,14 @@ from pyspark.sql import functions as F
 from ..functions.blanks import text_or_empty
 from ..functions.dates import date_token
 from ..functions.text import contains_any, doc_subtype, extract_entities, keyword_set, normalize_category, target_categories
-from .scale import bounded_rows, small_side
 
-# Slot names, payment words, linkage tolerance, list sizes.
+# Slot names, payment words, linkage tolerance, references per rule.
 PAYMENT_SLOTS = ("receipt_page_candidate", "payment_indicator", "invoice_receipt_link")
 PAYMENT_RULE_WORDS = ("proof_of_payment", "justificante", "payment")
 LINKED_RULE_WORDS = ("payment", "justificante", "proof")
 AMOUNT_TOLERANCE = 0.02
-GAPS_SHOWN = 8
 DIRECT_REFS = 3
 KEYWORD_REFS = 2
-SNIPPET_CHARS = 240
 NON_STAMP_CATEGORIES = ("LINE_ITEMS", "TOTALS", "BODY", "BLANK", "COVER_PAGE", "SUPPORTING_DOC", "UNKNOWN", "")
 ALWAYS_WANTED = ("INVOICE_HEADER", "SIGNATURE_STAMP")
 PAGE_FACT_CONFIDENCE = 0.6
@@ -107,7 +104,7 @@ def payment_evidence(links: DataFrame) -> DataFrame:
 
 def evidence_slots(results: DataFrame, rules: DataFrame, support: DataFrame) -> DataFrame:
     """required / filled / missing slots per (document, rule)."""
-    info = small_side(rules.select("rule_id", "check_value"))
+    info = rules.select("rule_id", "check_value")
     rows = results.join(info, "rule_id", "left").join(support, "doc_id", "left")
     rows = rows.withColumn("required_slots", required_slots(F.col("rule_name"), F.col("check_value"), F.col("check_type")))
     settled = F.col("status").isin("passed", "failed")
@@ -129,15 +126,13 @@ def evidence_slots(results: DataFrame, rules: DataFrame, support: DataFrame) ->
     ).drop("any_link", "any_marker", "support_pages", "check_value")
 
 
-def evidence_gaps(slots: DataFrame) -> DataFrame:
-    """First error-severity rules with missing slots, in rule order."""
+def evidence_gaps(slots: DataFrame, shown: int | None = None) -> DataFrame:
+    """Error-severity rules with missing slots, ranked in rule order; the first ``shown``, if given."""
     first = Window.partitionBy("doc_id").orderBy("rule_order")
-    return (
-        slots.filter((F.col("severity") == "error") & (F.size("missing_slots") > 0))
-        .withColumn("rank", F.row_number().over(first))
-        .filter(F.col("rank") <= GAPS_SHOWN)
-        .select("doc_id", "rule_id", "rank", "missing_slots")
-    )
+    gaps = slots.filter((F.col("severity") == "error") & (F.size("missing_slots") > 0)).withColumn("rank", F.row_number().over(first))
+    if shown is not None:
+        gaps = gaps.filter(F.col("rank") <= shown)
+    return gaps.select("doc_id", "rule_id", "rank", "missing_slots")
 
 
 def wanted_categories(rules: DataFrame) -> DataFrame:
@@ -150,14 +145,15 @@ def wanted_categories(rules: DataFrame) -> DataFrame:
     )
 
 
-def evidence_pages(targets: DataFrame, pages: DataFrame, rules: DataFrame, max_pages: int = 4) -> DataFrame:
+def evidence_pages(targets: DataFrame, pages: DataFrame, rules: DataFrame, max_pages: int | None = None) -> DataFrame:
     """Pages shown as evidence: the anchor, wanted categories by page, page one.
 
-    ``targets`` carries doc_id, invoice_type_id and the anchor ``page_num``.
+    ``targets`` carries doc_id, invoice_type_id and the anchor ``page_num``; with
+    ``max_pages`` only so many pages of a document are shown.
     """
     anchor = targets.select("doc_id", "invoice_type_id", F.col("page_num").alias("_anchor"))
     rows = pages.select("doc_id", "page_num", "category").join(anchor, "doc_id").join(
-        small_side(wanted_categories(rules)), "invoice_type_id", "left"
+        wanted_categories(rules), "invoice_type_id", "left"
     )
     rank = (
         F.when(F.col("page_num") == F.col("_anchor"), 0)
@@ -165,12 +161,10 @@ def evidence_pages(targets: DataFrame, pages: DataFrame, rules: DataFrame, max_p
         .when(F.col("page_num") == 1, 2)
     )
     order = Window.partitionBy("doc_id").orderBy("_class", "page_num")
-    return (
-        rows.withColumn("_class", rank).filter(F.col("_class").isNotNull())
-        .withColumn("position", F.row_number().over(order))
-        .filter(F.col("position") <= max(1, max_pages))
-        .select("doc_id", "page_num", "position")
-    )
+    ranked = rows.withColumn("_class", rank).filter(F.col("_class").isNotNull()).withColumn("position", F.row_number().over(order))
+    if max_pages is not None:
+        ranked = ranked.filter(F.col("position") <= max(1, max_pages))
+    return ranked.select("doc_id", "page_num", "position")
 
 
 def signature_page(targets: DataFrame, pages: DataFrame) -> DataFrame:
@@ -217,8 +211,6 @@ def policy_refs(rules: DataFrame, lines: DataFrame, fallback_source: str = "comp
     and the text of each learning line.  Rules are configuration; lines are not:
     only the first few lines per rule leave a task before the ranking shuffle.
     """
-    ids = sorted({r["rule_id"].lower() for r in bounded_rows(rules.select("rule_id"))})
-    known = F.array(*[F.lit(i) for i in ids])
     scoped = F.when(F.col("invoice_type_id") == "GENERAL", 0).otherwise(1)
     text = F.trim("text")
     base = lines.select(F.col("invoice_type_id").alias("_scope"), scoped.alias("_part"), "line_no", text.alias("line"))
@@ -228,13 +220,13 @@ def policy_refs(rules: DataFrame, lines: DataFrame, fallback_source: str = "comp
         F.explode(F.array(F.lit("GENERAL"), F.col("invoice_type_id"))).alias("_scope"),
     )
     words = F.regexp_extract_all(F.lower("line"), F.lit("[a-z0-9_]+"), F.lit(0))
-    mentioned = base.withColumn("_id", F.explode(F.array_intersect(words, known)))
-    direct = mentioned.join(small_side(wanted.select("rule_id", "_scope", "_id")), ["_scope", "_id"])
+    mentioned = base.withColumn("_id", F.explode(F.array_distinct(words)))
+    direct = mentioned.join(wanted.select("rule_id", "_scope", "_id"), ["_scope", "_id"])
     early = Window.partitionBy("rule_id").orderBy("_part", "line_no")
     direct = direct.withColumn("rank", F.row_number().over(early)).filter(F.col("rank") <= DIRECT_REFS).select("rule_id", "rank", "line")
 
     bullets = base.filter(F.col("line").startswith("- ["))
-    scored = bullets.join(small_side(wanted.select("rule_id", "_scope", "_words")), "_scope").withColumn(
+    scored = bullets.join(wanted.select("rule_id", "_scope", "_words"), "_scope").withColumn(
         "_score", F.size(F.filter("_words", lambda w: F.lower("line").contains(w)))
     ).filter(F.col("_score") > 0)
     best = Window.partitionBy("rule_id").orderBy(F.desc("_score"), "_part", "line_no")
@@ -249,5 +241,5 @@ def policy_refs(rules: DataFrame, lines: DataFrame, fallback_source: str = "comp
         "rule_id", F.coalesce("rank", F.lit(1)).alias("rank"),
         F.when(learned, "learnings").otherwise(fallback_source).alias("source"),
         F.coalesce(marked, F.col("rule_id")).alias("snippet_id"),
-        F.substring("line", 1, SNIPPET_CHARS).alias("snippet"),
+        F.col("line").alias("snippet"),
     )

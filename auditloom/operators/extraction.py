@@ -13,11 +13,9 @@ from ..functions.numbers import clamp_unit, rule_number
 from ..functions.text import clean_updates, role_like, sanitize_text, snap_enum
 from .scale import CHUNK_ROWS
 
-# Review thresholds, per-call field caps, backfill confidence.
+# Review thresholds, backfill confidence.
 ATTENTION_BELOW = 0.65
 DONE_FROM = 0.85
-FIELDS_PER_CALL = 15
-FIELDS_PER_MICRO_CALL = 8
 BACKFILL_CONFIDENCE = 0.86
 
 
@@ -240,22 +238,19 @@ def unattempted_fields(documents: DataFrame, fields: DataFrame, attempts: DataFr
     return wanted.join(attempts.select("doc_id", "field_name"), ["doc_id", "field_name"], "left_anti")
 
 
-def next_field_batch(requested: DataFrame, untried: DataFrame, micro: bool = False) -> DataFrame:
+def next_field_batch(requested: DataFrame, untried: DataFrame, per_call: int | None = None) -> DataFrame:
     """Fields of the next call: requested first, then untried ones by name.
 
     ``requested`` carries doc_id, field_name and the position ``pos`` in the
-    request; the call holds at most the documented number of fields.
+    request; with ``per_call`` only that many slots of a document are returned.
     """
-    cap = FIELDS_PER_MICRO_CALL if micro else FIELDS_PER_CALL
     asked = requested.groupBy("doc_id", "field_name").agg(F.min("pos").alias("_pos"))
     asked = asked.withColumn("_rank", F.lit(0))
     free = untried.select("doc_id", "field_name", F.lit(0).alias("_pos"), F.lit(1).alias("_rank")).join(
         asked.select("doc_id", "field_name"), ["doc_id", "field_name"], "left_anti"
     )
     slots = Window.partitionBy("doc_id").orderBy("_rank", "_pos", "field_name")
-    return (
-        asked.unionByName(free)
-        .withColumn("slot", F.row_number().over(slots))
-        .filter(F.col("slot") <= cap)
-        .select("doc_id", "field_name", "slot", (F.col("_rank") == 1).alias("added"))
-    )
+    placed = asked.unionByName(free).withColumn("slot", F.row_number().over(slots))
+    if per_call is not None:
+        placed = placed.filter(F.col("slot") <= per_call)
+    return placed.select("doc_id", "field_name", "slot", (F.col("_rank") == 1).alias("added"))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.blanks import squeeze
 from ..functions.text import fold_accents
-from .scale import small_side
 
 # Label coverage, reading thresholds, paddings, reach below a label.
 MIN_TERM_CHARS = 3
@@ -37,7 +36,7 @@ def localize_labels(lines: DataFrame, fields: DataFrame) -> DataFrame:
     best line is a map-side combinable maximum.
     """
     folded = lines.filter(F.trim("text") != "").withColumn("_norm", fold_accents(F.col("text")))
-    hits = folded.join(small_side(search_terms(fields)), "invoice_type_id").filter(F.col("_norm").contains(F.col("term")))
+    hits = folded.join(search_terms(fields), "invoice_type_id").filter(F.col("_norm").contains(F.col("term")))
     score = F.length("term") / F.greatest(F.length("_norm"), F.lit(1))
     line = F.struct("line_no", "text", "confidence", "x1", "y1", "x2", "y2", "image_width", "image_height")
     best = hits.withColumn("_score", score).groupBy("doc_id", "page_num", "field_name").agg(

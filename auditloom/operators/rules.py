@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.blanks import is_blank
 from ..functions.numbers import rule_number
-from .scale import bounded_rows, small_side
+from .scale import bounded_rows
 
 # Tolerances and result wording.
 CROSS_FIELD_TOLERANCE = 0.02
@@ -173,7 +173,7 @@ def evaluate_rules(
     listed = bounded_rows(rules.select("field_id", "check_type", "check_value"))
     facts = field_map(field_results, _mentioned(listed))
     todo = documents.select("doc_id", "invoice_type_id").join(
-        small_side(_prepared(rules, fields)), "invoice_type_id"
+        _prepared(rules, fields), "invoice_type_id"
     )
     if prior_results is not None:
         settled = prior_results.filter(F.col("status").isin("passed", "failed"))
@@ -199,7 +199,7 @@ def evaluate_rules(
         return out
     kept = settled.select(
         "doc_id", "rule_id", "rule_name", "field_id", "status", "severity", "message", "agent_notes", "skip_kind"
-    ).join(small_side(rules.select("rule_id", "invoice_type_id", "check_type", "rule_order")), "rule_id")
+    ).join(rules.select("rule_id", "invoice_type_id", "check_type", "rule_order"), "rule_id")
     kept = kept.join(documents.select("doc_id", "invoice_type_id"), ["doc_id", "invoice_type_id"], "left_semi")
     return out.unionByName(kept.select(*out.columns))
 

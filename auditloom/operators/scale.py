@@ -84,16 +84,6 @@ def running(
     return out.select(*[F.col(f"`{c}`") for c in df.columns], *results)
 
 
-def small_side(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:
-    """Mark a join side for broadcast only after counting that it is small.
-
-    The count stops at the bound.  A larger side is returned unmarked, so the
-    join stays a shuffle join and adaptive execution splits its skew.
-    """
-    fits = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if fits else df
-
-
 def bounded_rows(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> list:
     """Rows of a configuration table; refuses anything that is not one."""
     rows = df.limit(max_rows + 1).collect()

@@ -60,7 +60,7 @@ def targets(spark, sf_dir):
 
 @query("evidence_pages")
 def evidence_pages(spark, sf_dir):
-    return E.evidence_pages(targets(spark, sf_dir), scenario.page_rows(spark, sf_dir), scenario.rules(spark), 3)
+    return E.evidence_pages(targets(spark, sf_dir), scenario.page_rows(spark, sf_dir), scenario.rules(spark))
 
 
 @query("signature_page")

@@ -84,4 +84,4 @@ def unattempted_fields(spark, sf_dir):
 def next_field_batch(spark, sf_dir):
     tried = _tried(spark, sf_dir)
     untried = X.unattempted_fields(scenario.documents(spark, sf_dir), scenario.fields(spark), tried)
-    return X.next_field_batch(tried.filter("pos <= 2"), untried, micro=True)
+    return X.next_field_batch(tried, untried)

@@ -95,7 +95,7 @@ def match_key(spark, sf_dir):
 
 @query("safe_stem")
 def safe_stem(spark, sf_dir):
-    name = F.concat(F.replace(F.substring("text", 1, 90), F.lit("/"), F.lit(" ")), F.lit(".pdf"))
+    name = F.concat(F.replace(F.col("text"), F.lit("/"), F.lit(" ")), F.lit(".pdf"))
     return scenario.read(spark, sf_dir, "benchmark").select("item_id", identity.safe_stem(name).alias("stem"))
 
 

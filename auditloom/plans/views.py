@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions.blanks import text_or_empty
 from ..functions.text import contains_any, display_text, join_distinct
-from ..operators.scale import bounded_rows, small_side
+from ..operators.scale import bounded_rows
 
 # Keyword lists of the consistency checks.
 MISSING_TERMS = ("missing", "not identified", "no se ha identificado", "falta", "null", "required", "obligatorio")
@@ -35,7 +35,6 @@ TRAVEL_CONTRADICTION = "Invoice classified as travel but visible context suggest
 HIDDEN_RULE = "Configured compliance rule"
 
 # Longest list shown in one rule-guide cell; longer ones stay in long form.
-CELL_ENTRIES = 500
 
 
 def result_status(status: Column) -> Column:
@@ -54,7 +53,6 @@ def rule_sources(rules: DataFrame, results: DataFrame | None = None) -> DataFram
     columns = ("rule_id", "invoice_type_id", "rule_name", "field_id", "check_type", "check_value", "severity",
                "agent_hint", "error_message")
     known = rules.select(*[text_or_empty(F.col(c)).alias(c) for c in columns]).withColumn("message", F.lit(""))
-    known = small_side(known)
     if results is None:
         return known
     seen = ("invoice_type_id", "rule_name", "field_id", "severity", "message")
@@ -95,7 +93,7 @@ def rule_labels(sources: DataFrame) -> DataFrame:
 
 def labelled(results: DataFrame, labels: DataFrame) -> DataFrame:
     """Result rows with ``label`` and the normalised ``st``."""
-    named = small_side(labels.select("rule_id", "label"))
+    named = labels.select("rule_id", "label")
     return results.join(named, "rule_id", "left").withColumns(
         {
             "label": F.coalesce("label", display_text(F.col("rule_name"))),
@@ -444,42 +442,19 @@ def rule_guide_entries(results: DataFrame) -> DataFrame:
     return named.unionByName(reasons)
 
 
-def rule_guide(results: DataFrame, sources: DataFrame, labels: DataFrame, cell_entries: int = CELL_ENTRIES) -> DataFrame:
-    """Counts per rule, with its lists where they fit in a cell.
-
-    A list longer than ``cell_entries`` is left null here and is found, whole,
-    in ``rule_guide_entries``.  Only that many entries (plus one, to notice the
-    excess) ever leave a task per rule.
-    """
+def rule_guide(results: DataFrame, sources: DataFrame, labels: DataFrame) -> DataFrame:
+    """Metadata and counts per rule; its lists of invoices and reasons are ``rule_guide_entries``."""
     st = result_status(F.col("normalized_status"))
     counts = results.groupBy("rule_id").agg(
         *[F.count_if(st == s).alias(s) for s in S.RESULT_STATUSES], F.count(F.lit(1)).alias("total_results")
     )
-    ranked = rule_guide_entries(results).withColumn(
-        "_rn", F.row_number().over(Window.partitionBy("rule_id", "kind").orderBy("tie", "entry"))
-    ).filter(F.col("_rn") <= cell_entries + 1)
-
-    def cell(kind: str) -> Column:
-        mine = F.collect_list(F.when(F.col("kind") == kind, F.struct("_rn", "entry")))
-        text = F.array_join(F.transform(F.array_sort(mine), lambda e: e["entry"]), "; ")
-        return F.when(F.size(mine) <= cell_entries, text)
-
-    lists = ranked.groupBy("rule_id").agg(
-        cell("failing").alias("failing_invoices"), cell("warning").alias("warning_invoices"), cell("reasoning").alias("reasoning"),
-        F.lit(True).alias("_has"),
-    )
-    rows = sources.join(labels.select("rule_id", "label"), "rule_id").join(counts, "rule_id", "left").join(lists, "rule_id", "left")
-
-    def listed(column: str) -> Column:
-        return F.when(F.col("_has").isNull(), "").otherwise(F.col(column))
-
+    rows = sources.join(labels.select("rule_id", "label"), "rule_id").join(counts, "rule_id", "left")
     return rows.withColumns(
         {
             "rule": F.col("label"), "invoice_type": F.col("invoice_type_id"), "field": F.col("field_id"),
             "condition": condition_text(F.col("check_type"), F.col("check_value")), "guidance": F.col("agent_hint"),
             "failure_message": F.coalesce(F.nullif("error_message", F.lit("")), F.col("message")),
             **{c: F.coalesce(c, F.lit(0)).cast("string") for c in (*S.RESULT_STATUSES, "total_results")},
-            **{c: listed(c) for c in ("failing_invoices", "warning_invoices", "reasoning")},
         }
     ).select(*S.RULE_GUIDE)
 
@@ -535,7 +510,7 @@ def compliance_matrix(invoices: DataFrame, results: DataFrame, labels: DataFrame
     listed = bounded_rows(labels.join(seen, "rule_id", "left_semi").select("rule_id", "label", "invoice_type_id"))
     names = sorted({r["label"] for r in listed}, key=lambda n: (n.lower(), n))
     types = {n: sorted({r["invoice_type_id"] or "" for r in listed if r["label"] == n}) for n in names}
-    cells = reject_ambiguous(results).join(small_side(labels.select("rule_id", "label")), "rule_id")
+    cells = reject_ambiguous(results).join(labels.select("rule_id", "label"), "rule_id")
     pivoted = cells.groupBy("invoice_id").pivot("label", names).agg(F.max_by("status", "rule_id"))
     rows = invoices.select("invoice_id", "invoice_file", F.col("invoice_type_id").alias("invoice_type"), "review_status")
     rows = rows.join(pivoted, "invoice_id", "left")
@@ -576,7 +551,7 @@ def order_rule_guide(guide: DataFrame) -> DataFrame:
 
 
 def workbook(runs: DataFrame, field_results: DataFrame, rule_results: DataFrame, rules: DataFrame, evidence: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All eight tables from document states; the shared plans are built once."""
+    """All tables of the workbook from document states."""
     from . import canonical as C
 
     summary = C.canonical_invoice_summary(runs, field_results, rule_results)
@@ -592,6 +567,7 @@ def workbook(runs: DataFrame, field_results: DataFrame, rule_results: DataFrame,
         "Invoice Summary": invoice_review_summary(facts),
         "Compliance Matrix": compliance_matrix(invoices, results, labels),
         "Rule Guide": rule_guide(results, sources, labels),
+        "Rule Guide Entries": rule_guide_entries(results).select(*S.RULE_GUIDE_ENTRIES),
         "Compliance Results": results,
         "Technical Run Data": summary,
     }

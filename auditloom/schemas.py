@@ -43,8 +43,9 @@ REVIEW_ISSUES = (
 DASHBOARD = ("section", "metric", "value", "count")
 RULE_GUIDE = (
     "rule", "invoice_type", "severity", "field", "condition", "guidance", "failure_message", "passed", "failed",
-    "warning", "flagged", "skipped", "unknown", "total_results", "failing_invoices", "warning_invoices", "reasoning",
+    "warning", "flagged", "skipped", "unknown", "total_results",
 )
+RULE_GUIDE_ENTRIES = ("rule_id", "kind", "entry")
 MATRIX_KEYS = ("invoice_file", "invoice_type", "review_status")
 FIELD_TABLE = (
     "invoice_file", "invoice_type_id", "field_id", "field_name", "extracted_value", "confidence", "source_page",
@@ -72,6 +73,7 @@ WORKBOOK_TABLES = (
     ("Dashboard", DASHBOARD),
     ("Compliance Matrix", None),
     ("Rule Guide", RULE_GUIDE),
+    ("Rule Guide Entries", RULE_GUIDE_ENTRIES),
     ("Compliance Results", COMPLIANCE_RESULTS),
     ("Technical Run Data", INVOICE_SUMMARY),
 )

@@ -57,9 +57,9 @@ CAST(len(amounts) AS INTEGER) AS n_amounts, array_to_string(dates, '|') AS dates
     "link_pages": with_(*LINKED) + "SELECT doc_id, invoice_page, supporting_page, matched_signals >= 2 AS linked, amount_match, date_match, reference_match, matched_signals, has_payment_marker FROM lk",
     "required_slots": with_(RULES, DOCS) + f"SELECT doc_id, rule_id, array_to_string({REQ}, '|') AS slots FROM docs JOIN rules USING (invoice_type_id)",
     "evidence_slots": with_(*RESULTS, *LINKED, SLOTS) + "SELECT doc_id, rule_id, array_to_string(req, '|') AS required_slots, array_to_string(filled, '|') AS filled_slots, array_to_string(missing, '|') AS missing_slots FROM sl",
-    "evidence_gaps": with_(*RESULTS, *LINKED, SLOTS) + "SELECT doc_id, rule_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY rule_order) AS INTEGER) AS rank, array_to_string(missing, '|') AS missing_slots FROM sl WHERE severity = 'error' AND len(missing) > 0 QUALIFY rank <= 8",
+    "evidence_gaps": with_(*RESULTS, *LINKED, SLOTS) + "SELECT doc_id, rule_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY rule_order) AS INTEGER) AS rank, array_to_string(missing, '|') AS missing_slots FROM sl WHERE severity = 'error' AND len(missing) > 0",
     "evidence_pages": with_(DOCS, PAGES, TARGETS, _CATS) + """SELECT p.doc_id, p.page_num, CAST(row_number() OVER (PARTITION BY p.doc_id ORDER BY CASE WHEN p.page_num = t.page_num THEN 0 WHEN list_contains(cats, category) THEN 1 ELSE 2 END, p.page_num) AS INTEGER) AS position
-FROM pages_ p JOIN tg t USING (doc_id) JOIN wc USING (invoice_type_id) WHERE p.page_num = t.page_num OR list_contains(cats, category) OR p.page_num = 1 QUALIFY position <= 3""",
+FROM pages_ p JOIN tg t USING (doc_id) JOIN wc USING (invoice_type_id) WHERE p.page_num = t.page_num OR list_contains(cats, category) OR p.page_num = 1""",
     "signature_page": with_(DOCS, PAGES, TARGETS) + """SELECT t.doc_id, t.page_num AS asked_page, CASE WHEN s.stamp IS NOT NULL AND coalesce(p.category, '') NOT IN ('INVOICE_HEADER', 'SIGNATURE_STAMP') THEN s.stamp ELSE t.page_num END AS page_num
 FROM tg t LEFT JOIN pages_ p ON p.doc_id = t.doc_id AND p.page_num = t.page_num LEFT JOIN (SELECT doc_id, min(page_num) AS stamp FROM pages_ WHERE category = 'SIGNATURE_STAMP' GROUP BY doc_id) s ON s.doc_id = t.doc_id""",
     "category_union": with_(DOCS, _CATS) + "SELECT invoice_type_id, array_to_string(cats, '|') AS categories, count(*) AS documents FROM docs JOIN wc USING (invoice_type_id) GROUP BY ALL",
@@ -70,7 +70,7 @@ FROM tg t LEFT JOIN pages_ p ON p.doc_id = t.doc_id AND p.page_num = t.page_num
 pr AS (SELECT kw.rule_id, line_no, text, CASE WHEN scope = 'GENERAL' THEN 0 ELSE 1 END AS part, regexp_matches(text, '\\b' || kw.rule_id || '\\b') AS direct, len(list_filter(ws, lambda w: contains(lower(text), w))) AS score FROM kw JOIN ln ON scope = 'GENERAL' OR scope = invoice_type_id),
 d AS (SELECT rule_id, text, row_number() OVER (PARTITION BY rule_id ORDER BY part, line_no) AS rk FROM pr WHERE direct QUALIFY rk <= 3),
 i AS (SELECT rule_id, text, row_number() OVER (PARTITION BY rule_id ORDER BY score DESC, part, line_no) AS rk FROM pr WHERE score > 0 AND rule_id NOT IN (SELECT rule_id FROM d) QUALIFY rk <= 2),
-f AS (SELECT * FROM d UNION ALL SELECT * FROM i)""") + "SELECT r.rule_id, CAST(coalesce(rk, 1) AS INTEGER) AS rank, CASE WHEN text IS NULL THEN 'compliance_rules' ELSE 'learnings' END AS source, coalesce(regexp_extract(text, '^- \\[(L\\d+)\\]', 1), r.rule_id) AS snippet_id, left(text, 240) AS snippet FROM rules r LEFT JOIN f USING (rule_id)",
+f AS (SELECT * FROM d UNION ALL SELECT * FROM i)""") + "SELECT r.rule_id, CAST(coalesce(rk, 1) AS INTEGER) AS rank, CASE WHEN text IS NULL THEN 'compliance_rules' ELSE 'learnings' END AS source, coalesce(regexp_extract(text, '^- \\[(L\\d+)\\]', 1), r.rule_id) AS snippet_id, text AS snippet FROM rules r LEFT JOIN f USING (rule_id)",
     "localize_labels": with_(*LAYOUT) + "SELECT doc_id, page_num, field_name, line_no, text, score FROM lbl",
     "localize_values": with_(*LAYOUT) + "SELECT * FROM loc",
     "value_below_label": with_(*LAYOUT) + "SELECT doc_id, 1 AS page_num, field_name, vno AS line_no, vtext AS text FROM blw",

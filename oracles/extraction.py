@@ -41,7 +41,7 @@ j AS (SELECT r.*, p.rule_id, p.page_num, p.offer, p.offer IS NOT NULL AND (value
   CASE WHEN take THEN page_num ELSE source_page END AS source_page, CASE WHEN take THEN 'visual_' || rule_id || '_field_updates' ELSE 'body' END AS source_region,
   take OR flagged_for_review AS flagged_for_review, CASE WHEN take THEN 'Suggested by visual compliance ' || rule_id || ' (field_updates) — verify' END AS review_reason, take AS backfilled FROM j""",
     "unattempted_fields": with_(FIELDS, DOCS, _TRIED, _UNTRIED) + "SELECT * FROM untried",
-    "next_field_batch": with_(FIELDS, DOCS, _TRIED, _UNTRIED, """asked AS (SELECT doc_id, field_name, 0 AS rk, min(pos) AS pos FROM tried WHERE pos <= 2 GROUP BY ALL),
+    "next_field_batch": with_(FIELDS, DOCS, _TRIED, _UNTRIED, """asked AS (SELECT doc_id, field_name, 0 AS rk, min(pos) AS pos FROM tried GROUP BY ALL),
 u AS (SELECT * FROM asked UNION ALL SELECT doc_id, field_name, 1, 0 FROM untried)""")
-    + "SELECT doc_id, field_name, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY rk, pos, field_name) AS INTEGER) AS slot, rk = 1 AS added FROM u QUALIFY slot <= 8",
+    + "SELECT doc_id, field_name, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY rk, pos, field_name) AS INTEGER) AS slot, rk = 1 AS added FROM u",
 }

@@ -84,7 +84,7 @@ u AS (SELECT page_id, CASE WHEN lower(c) NOT IN ('', 'null', 'none') THEN c END
     "snap_enum": """WITH t AS (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN lower(replace(o_orderpriority, ' ', '-')) WHEN 1 THEN '  ' || lower(o_orderpriority) ELSE '6-NONE' END AS raw FROM orders)
 SELECT o_orderkey, raw, list_filter(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'], lambda v: regexp_replace(lower(v), '[\\s\\-]+', '_', 'g') = regexp_replace(lower(trim(raw)), '[\\s\\-]+', '_', 'g'))[1] AS snapped FROM t""",
     "match_key": "SELECT page_id, regexp_replace(lower('A.5.d.- ' || url), '[^a-z0-9]+', '', 'g') AS match_key FROM pages",
-    "safe_stem": "SELECT item_id, " + stem("(replace(left(text, 90), '/', ' ') || '.pdf')") + " AS stem FROM benchmark",
+    "safe_stem": "SELECT item_id, " + stem("(replace(text, '/', ' ') || '.pdf')") + " AS stem FROM benchmark",
     "source_hash": """SELECT o_orderkey, left(sha256('local:/in/' || o_orderkey || '.pdf:' || CAST(epoch(o_orderdate) AS BIGINT) || ':' || o_custkey), 12) AS local_hash,
 left(sha256('google_drive:' || o_orderkey || ':' || CASE WHEN o_custkey % 3 > 0 THEN o_orderpriority ELSE 'unknown' END), 12) AS drive_hash FROM orders""",
     "run_id": "SELECT event_id, strftime(ts, '%Y%m%dT%H%M%S%fZ') || '-run-' || user_id || '-' || left(sha256(event_type), 12) AS run_id FROM events",

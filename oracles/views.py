@@ -54,18 +54,13 @@ VIEWS = (*CANON, LAB, FACTS)
 _OBS = "('R_VIA_001')"
 _GUIDE_ENTRIES = f"""ge AS (SELECT DISTINCT rule_id, CASE WHEN normalized_status = 'warning' THEN 'warning' ELSE 'failing' END AS kind, invoice_file AS entry, '' AS tie FROM cr WHERE normalized_status IN ('failed', 'flagged', 'warning')
 UNION ALL SELECT rule_id, 'reasoning', invoice_file || ': ' || message, concat_ws(chr(1), invoice_file, normalized_status, message) FROM cr WHERE {ACT})"""
-GUIDE = _GUIDE_ENTRIES + """,
-gl AS (SELECT rule_id, kind, count(*) AS n, string_agg(entry, '; ' ORDER BY tie, entry) AS txt FROM ge GROUP BY ALL),
-gc AS (SELECT rule_id, count(*) FILTER (normalized_status = 'passed') AS passed, count(*) FILTER (normalized_status = 'failed') AS failed, count(*) FILTER (normalized_status = 'warning') AS warning,
+GUIDE = """gc AS (SELECT rule_id, count(*) FILTER (normalized_status = 'passed') AS passed, count(*) FILTER (normalized_status = 'failed') AS failed, count(*) FILTER (normalized_status = 'warning') AS warning,
   count(*) FILTER (normalized_status = 'flagged') AS flagged, count(*) FILTER (normalized_status = 'skipped') AS skipped, count(*) FILTER (normalized_status = 'unknown') AS unknown, count(*) AS total_results FROM cr GROUP BY rule_id),
-gw AS (SELECT rule_id, max(CASE WHEN n <= 500 THEN txt END) FILTER (kind = 'failing') AS f, max(CASE WHEN n <= 500 THEN txt END) FILTER (kind = 'warning') AS w, max(CASE WHEN n <= 500 THEN txt END) FILTER (kind = 'reasoning') AS r,
-  bool_or(kind = 'failing') AS hf, bool_or(kind = 'warning') AS hw, bool_or(kind = 'reasoning') AS hr FROM gl GROUP BY rule_id),
 guide AS (SELECT label AS rule, r.invoice_type_id AS invoice_type, severity, field_id AS field,
   CASE WHEN check_value <> '' THEN upper(left(check_type, 1)) || substr(replace(check_type, '_', ' '), 2) || ': ' || check_value ELSE upper(left(check_type, 1)) || substr(replace(check_type, '_', ' '), 2) END AS condition,
   agent_hint AS guidance, error_message AS failure_message, CAST(coalesce(passed, 0) AS VARCHAR) AS passed, CAST(coalesce(failed, 0) AS VARCHAR) AS failed, CAST(coalesce(warning, 0) AS VARCHAR) AS warning,
-  CAST(coalesce(flagged, 0) AS VARCHAR) AS flagged, CAST(coalesce(skipped, 0) AS VARCHAR) AS skipped, CAST(coalesce(unknown, 0) AS VARCHAR) AS unknown, CAST(coalesce(total_results, 0) AS VARCHAR) AS total_results,
-  CASE WHEN coalesce(hf, false) THEN f ELSE '' END AS failing_invoices, CASE WHEN coalesce(hw, false) THEN w ELSE '' END AS warning_invoices, CASE WHEN coalesce(hr, false) THEN r ELSE '' END AS reasoning
-  FROM rules r JOIN lab USING (rule_id) LEFT JOIN gc USING (rule_id) LEFT JOIN gw USING (rule_id))"""
+  CAST(coalesce(flagged, 0) AS VARCHAR) AS flagged, CAST(coalesce(skipped, 0) AS VARCHAR) AS skipped, CAST(coalesce(unknown, 0) AS VARCHAR) AS unknown, CAST(coalesce(total_results, 0) AS VARCHAR) AS total_results
+  FROM rules r JOIN lab USING (rule_id) LEFT JOIN gc USING (rule_id))"""
 _MATRIX_LABELS = {}
 for _row in scenario.rule_rows():
     _name = _row[2].replace("_", " ")
