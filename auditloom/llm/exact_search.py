@@ -4,7 +4,7 @@ With M the largest norm, a vector v becomes (v, sqrt(M^2 - |v|^2)) and a query (
 distance is |q|^2 + M^2 - 2 q.v, so nearest and highest score are the same order. Pivots come from a
 bounded sample; each vector is keyed by its nearest pivot and its distance to it and the table is range
 partitioned and sorted by this key, with the id last, so that a vector that occurs very often is split
-over partitions too. A run of ``SECTION`` rows of one pivot is an annulus: by the triangle inequality
+over partitions too. A run of ``SECTION`` rows of one pivot in rising distance is an annulus: by the triangle inequality
 its vectors are no nearer to a query than the query's distance to the pivot lies outside it.
 
 Queries are answered in blocks of bounded size, each sent to the tasks that hold the index. A first job
@@ -125,7 +125,8 @@ def _search(index: DataFrame, query_ids: np.ndarray, queries: np.ndarray, pivots
         for batch in batches:
             pivot, distance, ids = batch.column("pivot").to_numpy(), batch.column("distance").to_numpy(), batch.column("vec_id").to_numpy()
             x = _matrix(batch.column("v"), dim)
-            cuts = np.nonzero(np.diff(pivot))[0] + 1
+            # on reread a task's files come in any order, so a section also ends where the distance falls
+            cuts = np.nonzero((np.diff(pivot) != 0) | (np.diff(distance) < 0))[0] + 1
             starts = np.concatenate([np.arange(a, b, SECTION) for a, b in zip([0, *cuts], [*cuts, len(pivot)], strict=True)]) if len(pivot) else []
             annuli = list(zip(starts, [*starts[1:], len(pivot)], strict=True))
             lower = np.stack([np.maximum(np.maximum(distance[a] - to_pivot[:, pivot[a]], to_pivot[:, pivot[a]] - distance[b - 1]), 0) for a, b in annuli]) if annuli else np.zeros((0, len(query_ids)))

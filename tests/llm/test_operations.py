@@ -260,6 +260,29 @@ def test_exact_search_equals_brute_force(spark):
     assert exact_search.top_k(table.limit(0)).collect() == []
 
 
+def test_exact_search_of_a_pivot_in_files_read_out_of_order(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(exact_search, "MAX_PIVOTS", 1)
+    rng = np.random.default_rng(3)
+    v = np.floor(256 * rng.normal(size=(900, 4)) * rng.uniform(0.1, 2, size=(900, 1)))
+    top = float((v**2).sum(axis=1).max())
+    pivots = exact_search.choose_pivots(exact_search._lifted(v, top))
+    vectors = spark.createDataFrame([(k, [int(x) for x in row]) for k, row in enumerate(v)], "vec_id bigint, v array<bigint>")
+    rows = exact_search.build_index(vectors, pivots, 4, top, len(v)).collect()
+    rows.sort(key=lambda r: (r["distance"], r["vec_id"]))
+    schema = "pivot int, distance double, vec_id bigint, v array<bigint>"
+    for part in (rows[:400], rows[400:]):  # the file of the far rows is larger, so it is read first
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "index"))
+    index = spark.read.schema(schema).parquet(str(tmp_path / "index")).coalesce(1)
+    assert (np.diff([r["distance"] for r in index.collect()]) < 0).any()
+    ids = np.arange(len(v))
+    found = exact_search._search(index, ids, v, pivots, top, 5, np.full(len(v), -np.inf), False).collect()
+    want = set()
+    for q in ids:
+        best = sorted((-int(s), i) for i, s in enumerate(v @ v[q]) if i != q)[:5]
+        want |= {(int(q), i, -s) for s, i in best}
+    assert {tuple(r) for r in found} == want
+
+
 def test_gradients_of_the_network():
     rng = np.random.default_rng(1)
     net = toxicity.Network()
