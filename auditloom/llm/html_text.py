@@ -4,7 +4,13 @@ A page is cut at block-level tags into flat blocks. Each block is described by i
 density, the same of its neighbours and its place (inside an article, inside a menu, footer, form or a
 container whose class or id names one of these). A decision tree, grown here from the small labelled
 table below, tells article text from the rest. Tags are read in one pass; markup that is broken off or
-never closed does no harm, since only the containers on the way are kept on a stack.
+never closed does no harm, since only the containers on the way are kept on a stack. Elements without
+text of the page go with what is in them only if they are closed; a head or title also ends at the body
+or the first block. Only an open comment, script or style takes the rest of the page, as in browsers.
+
+A container named after another part puts its blocks outside, unless the name only says how the page is
+laid out (``with-sidebar``). A main element inside outweighs such a name, and so does an article where
+no other article of the page is free of them.
 
 Defined results: null or empty html, or a page without article text, gives an empty text; pages are
 independent, so repeated rows and null ids or urls pass through; further columns are ignored.
@@ -14,6 +20,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Elements without text of the page, block-level elements, containers, names of other parts.
-RAW = "script style noscript template svg iframe object canvas textarea select button head title video audio"
+CODE = "script style"
+RAW = "noscript template svg iframe object canvas textarea select button head title video audio"
 BLOCK = ("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
          "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul").split()
 OUTSIDE = set("nav footer aside form menu dialog fieldset legend label address".split())
@@ -31,8 +39,11 @@ MAIN_NAMES = set("article main content post story entry body text".split())
 OTHER_NAMES = (r"(?:^|[^a-z])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|menus?|nav\w*|breadcrumbs?|sidebar\w*|footer\w*|masthead|topbar|toolbar|cookies?\w*|"
                r"consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w*|shar\w+|social|related|recommend\w*|comments?|commentlist|disqus|repl(?:y|ies)|"
                r"respond|log-?in|sign-?up|widgets?|paginat\w*|pager|copyright|search\w*|skip)(?:$|[^a-z])")
+LAYOUT_NAMES = set("with without has have no not hide show layout column columns template category tag format type status open closed enabled disabled".split())
 
-_RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW.split()) + r")\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))", re.S | re.I)
+_CODE = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(CODE.split()) + r")(?=[\s/>])[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))", re.S | re.I)
+_RAW = re.compile(r"<(/?)(" + "|".join(RAW.split()) + r")(?=[\s/>])[^>]*>", re.I)
+_BODY = re.compile(r"<(?:" + "|".join(set(BLOCK) - {"html"}) + r")(?=[\s/>])", re.I)
 _TAG = re.compile(r"""(<[a-zA-Z/!?](?:[^>"']+|"[^"]*"|'[^']*')*>|<[a-zA-Z/!?][^>]*(?:>|\Z))""")
 _NAME = re.compile(r"</?\s*([a-zA-Z][a-zA-Z0-9]*)")
 _NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -157,22 +168,93 @@ def trained_tree(labelled: str = TABLE) -> Node:
     return grow(rows[:, :-1], rows[:, -1])
 
 
+def without_raw(page: str) -> str:
+    """The page without comments, code and closed elements of ``RAW``; tags of unclosed ones stay."""
+    page = _CODE.sub(" ", page)
+    opened: list[tuple[str, int]] = []
+    count = dict.fromkeys(RAW.split(), 0)
+    spans, heads = [], []
+    for m in _RAW.finditer(page):
+        name = m[2].lower()
+        if m[0].endswith("/>"):
+            spans.append((m.start(), m.end()))
+        elif not m[1]:
+            opened.append((name, m.start()))
+            count[name] += 1
+        elif count[name]:
+            while True:  # what was opened inside ends here too
+                other, start = opened.pop()
+                count[other] -= 1
+                if other == name:
+                    break
+                if other == "title":
+                    heads.append((start, m.start()))
+            (heads if name == "head" else spans).append((start, m.end()))
+    heads += [(start, -1) for name, start in opened if name in ("head", "title")]
+    spans = _outer(spans)
+    starts, done = [a for a, _ in spans], 0
+    for start, end in sorted(heads):
+        if start < done:
+            continue
+        at, body = start, None
+        while body is None and (m := _BODY.search(page, at)):
+            k = bisect_right(starts, m.start()) - 1
+            if k >= 0 and m.start() < spans[k][1]:
+                at = spans[k][1]
+            else:
+                body = m.start()
+        done = min(x for x in (body, end) if x is not None and x >= 0) if body is not None or end >= 0 else start
+        if done > start:
+            spans.append((start, done))
+    out, at = [], 0
+    for a, b in _outer(spans):
+        out += [page[at:a], " "]
+        at = b
+    return "".join([*out, page[at:]])
+
+
+def _outer(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that meet joined."""
+    found: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if found and a < found[-1][1]:
+            found[-1] = (found[-1][0], max(b, found[-1][1]))
+        else:
+            found.append((a, b))
+    return found
+
+
+def names_other(names: str) -> bool:
+    """Whether a class or id names another part; an element's prefix and modifier (a__b--c) don't count, nor do names of layouts."""
+    for token in names.split():
+        token = token.split("__")[-1].split("--")[0]
+        if _OTHER.search(token) and not LAYOUT_NAMES & set(re.split(r"[^a-z]+", token)):
+            return True
+    return False
+
+
+#: Where a block is: in no other part, in one by name, in one by its element or hidden, in an article inside one by name.
+FREE, NAMED, FIXED, HELD = range(4)
+
+
 def blocks(page: str) -> list[tuple[str, list[float]]]:
     """Text and features of the blocks of a page, in page order."""
-    found: list[tuple[str, int, bool, bool, int]] = []  # text, words in links, in_article, outside, kind
-    stack: list[tuple[str, bool, bool]] = []  # container, opens an article, opens another part
+    found: list[tuple[str, int, bool, int, int]] = []  # text, words in links, in_article, where, kind
+    stack: list[tuple[str, bool, int, bool]] = []  # container, in an article, where, in an article or main element
     parts: list[str] = []
-    linked, in_link, kind, has_article = 0, False, 0, False
+    linked, in_link, kind, has_article, free = 0, False, 0, False, False
 
     def close() -> None:
-        nonlocal linked
+        nonlocal linked, free
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            found.append((text, linked, any(s[1] for s in stack), any(s[2] for s in stack), kind))
+            _, in_article, where, in_element = stack[-1] if stack else ("", False, FREE, False)
+            found.append((text, linked, in_article, where, kind))
+            free = free or in_element and where == FREE
         parts.clear()
         linked = 0
 
-    for k, piece in enumerate(_TAG.split(_RAW.sub(" ", page))):
+    for k, piece in enumerate(_TAG.split(without_raw(page))):
         if k % 2 == 0:
             if piece:
                 parts.append(piece)
@@ -198,20 +280,28 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
                 kind = KINDS.get(name, 0)
                 if name not in VOID and (name in _CONTAINERS or _NAMES.search(piece) and name not in ("html", "body")):
                     names = " ".join("".join(v) for v in _NAMES.findall(piece)).lower()
-                    article = name in ("article", "main") or bool(MAIN_NAMES & set(re.split(r"[^a-z]+", names)))
-                    inside = article or any(s[1] for s in stack)
-                    other = name in OUTSIDE or name == "header" and not inside or bool(_OTHER.search(names)) or bool(_HIDDEN.search(piece))
+                    element = name in ("article", "main")
+                    article = element or bool(MAIN_NAMES & set(re.split(r"[^a-z]+", names)))
+                    inside = article or bool(stack) and stack[-1][1]
+                    fixed = name in OUTSIDE or name == "header" and not inside or bool(_HIDDEN.search(piece))
+                    other = fixed or name != "main" and names_other(names)
                     has_article = has_article or article and not other
                     if name in ("p", "li", "td", "th", "dd", "dt", "tr") and stack and stack[-1][0] == name:
                         stack.pop()  # these end where the next one begins
-                    stack.append((name, article, other))
+                    _, in_article, where, in_element = stack[-1] if stack else ("", False, FREE, False)
+                    if other:
+                        where = FIXED if fixed or where == FIXED else NAMED
+                    elif element and where in (NAMED, HELD):
+                        where = FREE if name == "main" else HELD
+                    stack.append((name, in_article or article, where, in_element or element))
     close()
     if not found:
         return []
     words = [float(len(t.split())) for t, *_ in found]
     links = [100.0 * min(1.0, f[1] / w) for f, w in zip(found, words, strict=True)]
     around = lambda v, k: v[k] if 0 <= k < len(v) else 0.0
-    return [(f[0], [1.0 if f[2] else -1.0 if has_article else 0.0, float(f[3]), words[k], links[k], around(words, k - 1), around(links, k - 1),
+    outside = lambda where: where != FREE and (free or where != HELD)
+    return [(f[0], [1.0 if f[2] else -1.0 if has_article else 0.0, float(outside(f[3])), words[k], links[k], around(words, k - 1), around(links, k - 1),
                     around(words, k + 1), around(links, k + 1), float(f[4])]) for k, f in enumerate(found)]
 
 

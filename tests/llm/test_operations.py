@@ -241,6 +241,26 @@ def test_main_text_of_pages(spark):
         (1, "Head\n\nHello big world & all. more\n\nSecond", 41), (2, "", 0), (3, "", 0), (None, "cut off here & th", 17), (1, "", 0)]
 
 
+@pytest.mark.parametrize("page", [
+    "<html><head><title>t</title><body><article>{}</article>",
+    "<html><head><title>t<body><article>{}</article>",
+    "<html><head><title>t</title><noscript><p>off</p></noscript><article>{}</article>",
+    "<head><title>t</title></head><body><nav><button>Menu</nav><article>{}</article><button>Send</button>",
+    "<body><select><option>a<object data=x><canvas><noscript><article>{}</article>",
+    "<body><video-player></video-player><object><object>x</object>y</object><article>{}</article>",
+    "<body><div class='container with-sidebar'><article>{}</article></div>",
+    "<body><div class='page no-comments'><div class=wrap>{}</div></div><footer>c</footer>",
+    "<body><div class='sidebar-wrap'><main class='site-main search'>{}</main><aside>rel</aside></div>",
+    "<body><div class='social'><article>{}</article><div class='share-box'>Share</div></div>",
+    "<body><article class='post category-social tag-search'>{}</article><div class='related'><article><p>another story to read</article></div>",
+    "<body><article>{}<div class='site-footer'><p>all rights reserved by us</p></div></article>",
+])
+def test_main_text_of_unclosed_elements_and_named_wrappers(page):
+    text = [" ".join(f"word{k}" for k in range(n)) for n in (40, 55, 30)]
+    body = "".join(f"<p>{t}</p>" for t in text)
+    assert html_text.main_text(page.format(body), html_text.trained_tree()) == "\n\n".join(text)
+
+
 def test_exact_search_equals_brute_force(spark):
     rng = np.random.default_rng(2)
     rows = [(k, [float(x) for x in rng.normal(size=6)]) for k in range(0, 420)]
