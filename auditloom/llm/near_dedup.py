@@ -1,7 +1,7 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
-Texts with equal shingle sets are one class, found by a 128-bit key of the set; what follows works on
-one representative per class. Signatures are cut into bands; equal bands make candidates. In a first
+Texts with equal shingle sets are one class, found by a 128-bit key of the set, whose 64-bit hash is
+the id below; what follows works on one representative per class. Signatures are cut into bands; equal bands make candidates. In a first
 round each member of a bucket meets only the bucket's smallest member, so a group of thousands costs
 one pair per member. In further rounds, what is not yet connected inside a bucket meets across the
 components: signatures are compared block by block, each id's most similar partners are confirmed
@@ -17,7 +17,8 @@ judgement drops it at ``MISS`` per batch. Shingles are 64-bit hashes.
 
 Defined results: null or empty text has no shingles, is its own component and is kept; rows without id
 are linked with nothing, their component is null and they are kept; rows that share an id are each
-judged by their own text; repeated rows get equal results; further columns are ignored.
+judged by their own text; repeated rows get equal results, and ``keep_one`` leaves one row of each group;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import materialize
 from .components import components
@@ -88,6 +90,11 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return sets
 
 
+def set_keys(sets: list[np.ndarray]) -> list[bytes | None]:
+    """128-bit keys of sets (empty: none)."""
+    return [np.array([s.sum(), mixed(s ^ _K).sum()], np.uint64).tobytes() if len(s) else None for s in sets]
+
+
 def signature(shingles: np.ndarray, hashes: int = HASHES) -> np.ndarray:
     """Minima of so many hash functions over a set, 32 bits each."""
     best = np.full(hashes, 2**32 - 1, np.uint32)
@@ -105,7 +112,7 @@ def signatures(docs: DataFrame) -> DataFrame:
         for whole in batches:
             for batch, data, offsets in text_slices(whole, "_text", SLICE_BYTES):
                 sets = shingle_sets(data, offsets)
-                keys = [np.array([s.sum(), mixed(s ^ _K).sum()], np.uint64).tobytes() if len(s) else None for s in sets]
+                keys = set_keys(sets)
                 rows = np.stack([signature(s) for s in sets]) if sets else np.zeros((0, HASHES), np.uint32)
                 acc = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(sets), BANDS))
                 for k in range(ROWS):
@@ -176,16 +183,23 @@ def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(two, "b").join(one, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, shingles): sorted hashes of the full sets of the documents in ``ids``."""
+def full_sets(docs: DataFrame, ids: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(id, shingles): sorted hashes of the full sets of the classes in ``ids`` (id, doc_id), one row for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch, data, offsets in text_slices(whole, "text", SLICE_BYTES):
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([s.tobytes() for s in shingle_sets(data, offsets)], pa.binary())], ["id", "shingles"])
+                sets = shingle_sets(data, offsets)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(set_keys(sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                                                 ["doc_id", "set_key", "shingles"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    return rows.join(ids, "id", "left_semi").select("id", "text").mapInArrow(run, "id bigint, shingles binary")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).where("text is not null")
+    found = rows.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "doc_id bigint, set_key binary, shingles binary").where("set_key is not null")
+    found = materialize(found.select("doc_id", F.xxhash64("set_key").alias("id"), "shingles"), "sets")
+    if repeated.isEmpty():
+        return found.select("id", "shingles")
+    many = found.join(repeated, "doc_id", "left_semi").join(ids, ["id", "doc_id"], "left_semi").groupBy("id").agg(F.any_value("shingles").alias("shingles"))
+    return materialize(found.join(repeated, "doc_id", "left_anti").select("id", "shingles").union(many), "sets")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -289,18 +303,19 @@ def _rank_in(keys: np.ndarray) -> np.ndarray:
     return rank
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id and kept."""
+def judged(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per row: doc_id, n_shingles, set_key, component (of class ids), component_id and kept; and the doc_ids of several rows."""
     signed = materialize(signatures(docs), "signed")
+    repeated = materialize(signed.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
     usable = signed.where("set_key is not null and doc_id is not null")
     classes = materialize(usable.groupBy("set_key").agg(F.min(F.struct("doc_id", "bands", "short")).alias("r"))
-                          .select("set_key", F.col("r.doc_id").alias("id"), "r.bands", "r.short"), "classes")
+                          .select("set_key", F.xxhash64("set_key").alias("id"), "r.doc_id", "r.bands", "r.short"), "classes")
     bands = band_rows(classes)
     leaders = bands.groupBy("band").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = materialize(bands.join(leaders, "band"), "members")
     star = members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     tested = materialize(plausible(star, classes), "plausible")
-    sets = materialize(full_sets(docs, members.select("id").distinct()), "sets")
+    sets = full_sets(docs, classes.join(members.select("id").distinct(), "id", "left_semi").select("id", "doc_id"), repeated)
     links = materialize(confirmed(tested, sets), "links")
     above, per_id, signs = 0, PER_ID, None
     while True:
@@ -316,13 +331,48 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             break
         links = links.union(materialize(confirmed(fresh, sets), "links"))
         above, per_id = per_id, per_id * 8
-    labels = classes.join(labels, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
+    placed = classes.join(labels, "id", "left").select("set_key", "doc_id", F.coalesce("component", "id").alias("component"))
+    smallest = placed.groupBy("component").agg(F.min("doc_id").alias("smallest"))
+    labels = placed.drop("doc_id").join(smallest, "component")
     out = signed.select("doc_id", "n_shingles", "set_key").join(labels, "set_key", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    component_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("smallest", "doc_id"))
+    return out.select("doc_id", "n_shingles", "set_key", "component", component_id.alias("component_id"),
+                      F.coalesce(F.col("doc_id") == component_id, F.lit(True)).alias("kept")), repeated
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id and kept."""
+    return judged(docs)[0].select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def with_set_key(docs: DataFrame) -> DataFrame:
+    """``docs`` with _key, the key of the row's shingle set."""
+    names = [*docs.columns, "_key"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch, data, offsets in text_slices(whole, "_text", SLICE_BYTES):
+                columns = [c for name, c in zip(batch.schema.names, batch.columns, strict=True) if name != "_text"]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(set_keys(shingle_sets(data, offsets)), pa.binary())], names)
+
+    schema = StructType([*docs.schema.fields, StructField("_key", BinaryType())])
+    return docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit(""))).mapInArrow(run, schema)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents that a smaller id of their group stands for."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """``docs`` with one row of each group, of the smallest id; rows without id or shingles stay."""
+    verdicts, repeated = judged(docs)
+    several = not repeated.isEmpty()
+    if several:
+        verdicts = materialize(verdicts, "verdicts")
+    gone = verdicts.where("not kept").select("doc_id").union(repeated).select(F.col("doc_id").alias("_gone")).distinct()
+    single = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    if not several:
+        return single
+    # ids of several rows: each row by its own text
+    keyed = with_set_key(docs.join(repeated.withColumnRenamed("doc_id", "_gone"), docs["doc_id"] == F.col("_gone"), "left_semi"))
+    kept = verdicts.where("kept and component is not null").select(F.col("doc_id").alias("_id"), F.col("set_key").alias("_set"), F.col("component").alias("_component")).distinct()
+    rows = keyed.join(kept, (F.col("doc_id") == F.col("_id")) & (F.col("_key") == F.col("_set")))
+    order = F.xxhash64(*[f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
+    first = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("_component").orderBy("_key", order))).where("_rank = 1")
+    return single.union(first.select(docs.columns)).union(keyed.where("_key is null").select(docs.columns))

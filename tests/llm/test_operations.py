@@ -209,6 +209,19 @@ def test_near_duplicates_are_the_components_of_all_links(spark, docs, nothing):
     assert near_dedup.near_duplicates(nothing).collect() == []
 
 
+def test_texts_that_share_an_id_are_judged_apart(spark):
+    left, right, alone = (" ".join(f"{name}{k}" for k in range(60)) for name in ("left", "right", "alone"))
+    edited = lambda t: t.replace("30", "x")
+    texts = [(1, left), (2, edited(left)), (1, right), (3, edited(right)), (2, alone), (4, alone + " end"), (5, "five " * 9), (5, "five " * 9), (6, ""), (6, None), (None, left)]
+    table = spark.createDataFrame([(i, t, {"row": str(k)}) for k, (i, t) in enumerate(texts)], "doc_id bigint, text string, more map<string,string>").repartition(3)
+    rows = near_dedup.near_duplicates(table).collect()
+    want = [(1, 1), (2, 1), (1, 1), (3, 1), (2, 2), (4, 2), (5, 5), (5, 5), (6, 6), (6, 6), (None, None)]
+    assert Counter((r["doc_id"], r["component_id"], r["kept"]) for r in rows) == Counter((i, c, i == c) for i, c in want)
+    kept = near_dedup.keep_one(table)
+    assert kept.columns == table.columns
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(1, left), (1, right), (2, alone), (5, "five " * 9), (6, ""), (6, None), (None, left)])
+
+
 def test_repeated_spans_cover_all_repeated_windows(spark, docs, nothing):
     more = [(30, "x" * 250), (31, "y" * 199), (32, "z" * 200), (33, BASE[:260] + "q" + BASE), (34, "é" * 300), (35, BASE[:205])]
     table = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id bigint, text string"))
