@@ -21,7 +21,7 @@ SMALL_SIDE_ROWS = 50_000
 
 @dataclass(frozen=True)
 class Prefix:
-    """One prefix aggregate: ``how`` is sum, min, max or last (non-null)."""
+    """One prefix aggregate: ``how`` is sum, min, max, xor or last (non-null)."""
 
     name: str
     how: str
@@ -33,6 +33,8 @@ def _pick(how: str, left: Column, right: Column) -> Column:
     """Combine the carried prefix (left) with the chunk-local one (right)."""
     if how == "sum":
         return F.coalesce(left + right, left, right)
+    if how == "xor":
+        return F.coalesce(left.bitwiseXOR(right), left, right)
     if how == "last":
         return F.coalesce(right, left)
     return F.greatest(left, right) if how == "max" else F.least(left, right)
@@ -54,7 +56,7 @@ def running(
     for i, p in enumerate(prefixes):
         staged = staged.withColumn(f"_v{i}", p.value)
 
-    whole = {"sum": F.sum, "max": F.max, "min": F.min}
+    whole = {"sum": F.sum, "max": F.max, "min": F.min, "xor": F.bit_xor}
     totals = []
     for i, p in enumerate(prefixes):
         v = F.col(f"_v{i}")
