@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from .common import table, tokenizer_file
 from .exact_search import top_k
 from .html_text import extract_text
+from .importance import resample
+from .line_dedup import dedup_lines, kept_text
 from .mixing import mix
 from .near_dedup import near_duplicates
 from .packing import pack
+from .prefix_trie import conversation_trie
 from .quality_rules import quality_report
 from .repeated_spans import remove_repeats
 from .secrets import secrets_report
@@ -63,5 +66,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations")).drop("n_ends")
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "item_id")
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = kept_text(F.col("text"), F.col("dropped_runs"))
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_token_counts, op2_toxicity, op3_mix_sources, op4_exact_search, op5_best_fit_packing, op6_suffix_dedup, op7_html_extraction, op8_near_duplicates, op9_secret_scan, op10_quality_rules)}
+    op1_token_counts, op2_toxicity, op3_mix_sources, op4_exact_search, op5_best_fit_packing, op6_suffix_dedup, op7_html_extraction, op8_near_duplicates, op9_secret_scan, op10_quality_rules,
+    op11_conversation_trie, op12_importance_resampling, op13_line_dedup)}

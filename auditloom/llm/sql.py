@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
+from . import line_dedup
 from . import quality_rules as rules
 
 EXACT_SEARCH = """
@@ -47,4 +50,18 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
   NOT base_failed AND 10 * left_chars >= {rules.KEEP_TENTHS} * word_chars AS kept, left_chars FROM y
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_exact_search": EXACT_SEARCH, "op10_quality_rules": QUALITY_RULES}
+LINE_DEDUP = rf"""
+WITH l AS (
+  SELECT r, doc_id, i, ls[i] AS line, translate(trim(ls[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{ascii_uppercase}', '{ascii_lowercase}') AS key
+  FROM (SELECT r, doc_id, ls, unnest(range(1, len(ls) + 1)) AS i
+        FROM (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
+s AS (
+  SELECT key, max(doc_id) AS keeper FROM l WHERE length(key) >= {line_dedup.MIN_CHARS}
+  GROUP BY key HAVING count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), 'null')) >= {line_dedup.MIN_DOCS}),
+m AS (SELECT l.*, s.key IS NOT NULL AND l.doc_id IS DISTINCT FROM keeper AS dropped FROM l LEFT JOIN s ON l.key = s.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256
+FROM m GROUP BY r, doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_exact_search": EXACT_SEARCH, "op10_quality_rules": QUALITY_RULES, "op13_line_dedup": LINE_DEDUP}
