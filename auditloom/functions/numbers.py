@@ -16,6 +16,7 @@ from .blanks import squeeze
 # Fixed patterns.
 NUMBER_TOKEN = r"[+-]?\d[\d.,]*"
 PLAIN_NUMBER = r"^[+-]?\d+(\.\d*)?$"
+PLAIN_NUMBER_ONLY = r"^[+-]?\d+(?:\.\d*)?\z"
 TAG = r"<[^>]+>"
 NBSP = "&nbsp;|&#160;|\u00a0"
 MARKUP = f"{TAG}|{NBSP}"
@@ -52,15 +53,32 @@ def _one_kind(text: Column) -> Column:
 def rule_number(value: Column) -> Column:
     """Number in OCR text for rule checks, or null when there is none."""
     text = value.cast("string")
+    # A text that is a number as it stands needs none of the steps below.
+    return F.when(text.rlike(PLAIN_NUMBER_ONLY), text.try_cast("double")).otherwise(_marked_up_number(text))
+
+
+def _marked_up_number(text: Column) -> Column:
     token = F.regexp_extract(F.regexp_replace(text, f"{MARKUP}|[ €$£]", ""), NUMBER_TOKEN, 0)
-    plain = (
-        F.when(token.rlike(BOTH), _commas_are_decimals(token))
-        .when(token.rlike(MANY_COMMAS), _no_commas(token))
-        .otherwise(_one_kind(token))
-    )
+
+    def plain(token: Column) -> Column:
+        return (
+            F.when(token.rlike(BOTH), _commas_are_decimals(token))
+            .when(token.rlike(MANY_COMMAS), _no_commas(token))
+            .otherwise(_one_kind(token))
+        )
+
+    # The lambda binds the token, so that its branches don't extract it anew.
+    number = F.get(F.transform(F.array(token), plain), F.lit(0))
     accounting = text.contains("(") & F.regexp_replace(text, f"{MARKUP}| ", "").rlike(r"(?s)^\s*\(.*\)\s*$")
     sign = F.when(accounting, -1.0).otherwise(1.0)
-    return sign * _to_double(plain)
+    return sign * _to_double(number)
+
+
+def float_text(number: Column) -> Column:
+    """A number as text in its shortest decimal form with at least one decimal: 5.0, 1234.56."""
+    usual = F.abs(number).between(1e-4, 1e16) | (number == 0)
+    digits = F.regexp_replace(number.cast("decimal(38,18)").cast("string"), r"(\.\d+?)0+$", "$1")
+    return F.when(usual, digits).otherwise(number.cast("string"))
 
 
 def _rightmost_decimal(text: Column) -> Column:

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import ast
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.blanks import is_blank
-from ..functions.numbers import rule_number
-from .scale import bounded_rows
+from ..functions.numbers import float_text, rule_number
+from .expressions import evaluate, names_in, postfix
 
 # Tolerances and result wording.
 CROSS_FIELD_TOLERANCE = 0.02
@@ -23,114 +20,83 @@ CHECK_TYPES = (
 )
 
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-_NAMES = "[a-zA-Z_][a-zA-Z0-9_]*"
-_ARITHMETIC: dict[type, Callable[[Column, Column], Column]] = {
-    ast.Add: lambda a, b: a + b,
-    ast.Sub: lambda a, b: a - b,
-    ast.Mult: lambda a, b: a * b,
-    ast.Div: F.try_divide,
-}
-
-
-def arithmetic_column(text: str, number_of: Callable[[str], Column]) -> Column | None:
-    """Column for ``+ - * /`` arithmetic over names and numbers; None when not that.
 
-    The text is data, so it is never handed to the SQL parser: only names,
-    numbers, the four operators, signs and parentheses are turned into columns.
-    """
 
-    def build(node) -> Column:
-        if isinstance(node, ast.BinOp) and type(node.op) in _ARITHMETIC:
-            return _ARITHMETIC[type(node.op)](build(node.left), build(node.right))
-        if isinstance(node, ast.UnaryOp) and isinstance(node.op, (ast.UAdd, ast.USub)):
-            inner = build(node.operand)
-            return -inner if isinstance(node.op, ast.USub) else inner
-        if isinstance(node, ast.Name):
-            return number_of(node.id)
-        if isinstance(node, ast.Constant) and type(node.value) in (int, float):
-            return F.lit(float(node.value))
-        raise ValueError(text)
-
-    try:
-        return build(ast.parse(text.strip(), mode="eval").body)
-    except (SyntaxError, ValueError):
-        return None
-
-
-def field_map(field_results: DataFrame, names: set[str] | None = None) -> DataFrame:
-    """One row per document with name → (text, num) and id → name maps.
-
-    (doc_id, field_name) is unique and only names the rules mention are kept, so
-    the size of a map is bounded by the rule table, not by the data.
-    """
-    rows = field_results
-    if names is not None:
-        wanted = sorted(names)
-        rows = rows.filter(F.col("field_name").isin(wanted) | F.col("field_id").isin(wanted))
+def _entry(field_results: DataFrame) -> tuple[Column, Column]:
+    """(name, value) and (id, name) of a field row; ``value_num`` is the number of a typed decimal."""
+    typed = "value_num" in field_results.columns
     value = F.struct(
         F.col("value_text").alias("text"),
-        rule_number(F.col("value_text")).alias("num"),
+        (F.col("value_num") if typed else F.lit(None)).cast("double").alias("num"),
         F.col("source_page").alias("page"),
     )
-    return rows.groupBy("doc_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("field_name", value))).alias("_values"),
-        F.map_from_entries(
-            F.array_sort(F.collect_set(F.struct("field_id", F.col("field_name"))))
-        ).alias("_names"),
-    )
+    return F.struct("field_name", value.alias("value")), F.struct("field_id", F.col("field_name"))
 
 
-def _mentioned(rules: list) -> set[str]:
-    import re
+def field_map(field_results: DataFrame) -> DataFrame:
+    """One row per document with name → (text, num, page) and id → name maps.
 
-    found: set[str] = set()
-    for r in rules:
-        found.add(r["field_id"])
-        if r["check_type"] in ("cross_field", "conditional_check"):
-            found.update(re.findall(_NAMES, r["check_value"] or ""))
-        if r["check_type"] == "required_one_of":
-            found.update(part.strip() for part in (r["check_value"] or "").split(","))
-    return {f for f in found if f}
+    (doc_id, field_name) is unique, so the size of a map is bounded by the field schema, not by the data.
+    """
+    value, name = _entry(field_results)
+    return field_results.groupBy("doc_id").agg(
+        F.map_from_entries(F.collect_list(value)).alias("_values"),
+        F.map_from_entries(F.array_sort(F.collect_set(name))).alias("_names"),
+    )
+
+
+def document_facts(documents: DataFrame, field_results: DataFrame) -> DataFrame:
+    """Typed documents with their field maps; documents and fields meet in the one shuffle of the aggregate."""
+    value, name = _entry(field_results)
+    fields = field_results.select("doc_id", F.lit(None).cast("string").alias("invoice_type_id"), value.alias("value"), name.alias("name"))
+    none = {c: F.lit(None).cast(fields.schema[c].dataType) for c in ("value", "name")}
+    both = fields.unionByName(documents.select("doc_id", "invoice_type_id").withColumns(none))
+    met = both.groupBy("doc_id").agg(
+        F.max("invoice_type_id").alias("invoice_type_id"),
+        F.map_from_entries(F.collect_list("value")).alias("_values"),
+        F.map_from_entries(F.array_sort(F.collect_set("name"))).alias("_names"),
+    )
+    return met.where("invoice_type_id is not null")
 
 
 def _value(name: Column) -> Column:
     return F.try_element_at("_values", name)
 
 
+def _text(value: Column) -> Column:
+    """Text that a check compares: a typed decimal in its number form."""
+    return F.coalesce(float_text(value["num"]), value["text"])
+
+
+def _number(value: Column) -> Column:
+    return F.coalesce(value["num"], rule_number(value["text"]))
+
+
 def _resolved(field_id: Column) -> Column:
     """Field name behind an id; an unknown id is taken as a name."""
     return F.coalesce(F.try_element_at("_names", field_id), field_id)
 
 
-def _cross_field(rules: list) -> dict[str, Column]:
-    """scaled / unscaled / missing columns, choosing the expression by check_value."""
-    import re
+def _cross_field(rows: DataFrame) -> DataFrame:
+    """Both readings of each rule's arithmetic and the names without a number.
+
+    A name with ``rate`` in a product may be a percentage, so it is tried as it is and divided by 100.
+    """
+    here = F.col("check_type") == "cross_field"
+    rows = rows.withColumn("_operands", F.when(here, F.map_from_arrays("_mentioned", F.transform("_mentioned", lambda n: _number(_value(n))))))
 
-    scaled = unscaled = missing = None
-    for text in sorted({r["check_value"] for r in rules if r["check_type"] == "cross_field" and r["check_value"]}):
-        def raw(name: str) -> Column:
-            return _value(F.lit(name))["num"]
+    def raw(name: Column) -> Column:
+        return F.try_element_at("_operands", name)
 
-        def percent(name: str) -> Column:
-            number = raw(name)
-            return F.when(number > 1, number / 100.0).otherwise(number) if "rate" in name and "*" in text else number
+    def percent(name: Column) -> Column:
+        return F.when(F.col("_product") & name.contains("rate") & (raw(name) > 1), raw(name) / 100.0).otherwise(raw(name))
 
-        absent = F.filter(
-            F.array(*[F.when(raw(n).isNull(), F.lit(n)) for n in sorted(set(re.findall(_NAMES, text)))]),
-            lambda n: n.isNotNull(),
-        )
-        picks = (arithmetic_column(text, percent), arithmetic_column(text, raw), absent)
-        picks = tuple(F.lit(None).cast("double") if p is None else p for p in picks)
-        here = F.col("check_value") == text
-        scaled = F.when(here, picks[0]) if scaled is None else scaled.when(here, picks[0])
-        unscaled = F.when(here, picks[1]) if unscaled is None else unscaled.when(here, picks[1])
-        missing = F.when(here, picks[2]) if missing is None else missing.when(here, picks[2])
-    nothing = F.lit(None).cast("double")
-    return {
-        "scaled": nothing if scaled is None else scaled,
-        "unscaled": nothing if unscaled is None else unscaled,
-        "missing": F.array().cast("array<string>") if missing is None else missing,
-    }
+    unscaled = evaluate("_postfix", raw)
+    return rows.withColumns({
+        "_missing": F.when(here, F.filter("_mentioned", lambda n: raw(n).isNull())),
+        "_unscaled": F.when(here, unscaled),
+        "_scaled": F.when(here, F.when(F.col("_product") & F.exists("_mentioned", lambda n: n.contains("rate")), evaluate("_postfix", percent)).otherwise(unscaled)),
+    })
 
 
 def _prepared(rules: DataFrame, fields: DataFrame | None) -> DataFrame:
@@ -139,6 +105,7 @@ def _prepared(rules: DataFrame, fields: DataFrame | None) -> DataFrame:
     sides = F.split("check_value", " then ")
     when_ = F.split(F.trim(F.replace(sides[0], F.lit("if "), F.lit(""))), "=")
     then_ = F.split(F.trim(F.get(sides, F.lit(1))), "=")
+    cross = F.col("check_type") == "cross_field"
     number_bounds = (F.size(parts) == 2) & parts[0].rlike(_NUMBER) & F.get(parts, F.lit(1)).rlike(_NUMBER)
     staged = rules.withColumns(
         {
@@ -147,6 +114,9 @@ def _prepared(rules: DataFrame, fields: DataFrame | None) -> DataFrame:
             "_list": F.transform(parts, lambda p: F.trim(p)),
             "_if": F.when((F.size(when_) == 2) & (F.size(then_) == 2), F.transform(when_, lambda p: F.trim(p))),
             "_then": F.when((F.size(when_) == 2) & (F.size(then_) == 2), F.transform(then_, lambda p: F.trim(p))),
+            "_postfix": F.when(cross, postfix(F.col("check_value"))),
+            "_mentioned": F.when(cross, names_in(F.col("check_value"))),
+            "_product": F.col("check_value").contains("*"),
         }
     )
     if fields is None:
@@ -166,28 +136,20 @@ def evaluate_rules(
 ) -> DataFrame:
     """Verdict per (document, rule of its type).
 
-    documents: doc_id, invoice_type_id.  field_results: doc_id, field_id,
-    field_name, value_text, source_page.  With ``prior_results``, earlier passed
-    or failed verdicts of any kind are kept and only the rest is evaluated.
+    documents: doc_id, invoice_type_id.  field_results: doc_id, field_id, field_name, value_text,
+    source_page and, for typed decimals, value_num.  With ``prior_results``, earlier passed or failed
+    verdicts of any kind are kept and only the rest is evaluated.  Rules are data: nothing of the rule table
+    reaches the driver and building the plan runs no job.
     """
-    listed = bounded_rows(rules.select("field_id", "check_type", "check_value"))
-    facts = field_map(field_results, _mentioned(listed))
-    todo = documents.select("doc_id", "invoice_type_id").join(
-        _prepared(rules, fields), "invoice_type_id"
-    )
+    rows = document_facts(documents, field_results).join(_prepared(rules, fields), "invoice_type_id")
     if prior_results is not None:
         settled = prior_results.filter(F.col("status").isin("passed", "failed"))
-        todo = todo.join(settled.select("doc_id", "rule_id"), ["doc_id", "rule_id"], "left_anti")
-    rows = todo.join(facts, "doc_id", "left")
-
-    found = _value(_resolved(F.col("field_id")))
-    text, num = found["text"], found["num"]
-    blank = is_blank(text)
-    cross = _cross_field(listed)
-    rows = rows.withColumns({"_text": text, "_num": num, "_blank": blank})
-    rows = rows.withColumns(
-        {"_scaled": cross["scaled"], "_unscaled": cross["unscaled"], "_missing": cross["missing"]}
-    )
+        rows = rows.join(settled.select("doc_id", "rule_id"), ["doc_id", "rule_id"], "left_anti")
+
+    numeric = F.col("check_type").isin("range", "cross_field")
+    rows = rows.withColumn("_found", _value(_resolved(F.col("field_id"))))
+    rows = rows.withColumns({"_text": _text(F.col("_found")), "_num": F.when(numeric, _number(F.col("_found")))})
+    rows = _cross_field(rows.withColumn("_blank", is_blank(F.col("_text"))))
     verdict = _verdict()
     out = rows.withColumn("_v", verdict).select(
         "doc_id", "invoice_type_id", "rule_id", "rule_name", "field_id", "check_type",
@@ -269,10 +231,11 @@ def _verdict() -> Column:
             "Expected ~%.2f (scaled) or ~%.2f (unscaled), got %.2f", scaled, unscaled, num)))
     )
 
-    condition_value = F.lower(F.coalesce(_value(F.col("_if")[0])["text"], F.lit("None")))
-    then_text = _value(F.col("_then")[0])["text"]
+    condition_value = F.lower(F.coalesce(_text(_value(F.col("_if")[0])), F.lit("None")))
+    then_value = _value(F.col("_then")[0])
+    then_text = _text(then_value)
     then_want = F.lower(F.col("_then")[1])
-    zero = then_text.isin("0", "0.0")
+    zero = F.coalesce(then_value["num"] == 0, then_text == "0")
     then_ok = (
         F.when(then_want.isin("null", "none"), then_text.isNull() | then_text.isin("null", "") | zero)
         .when(then_want == "0", then_text.isNull() | zero)

@@ -11,20 +11,20 @@ from .registry import query
 
 def results(spark, sf_dir):
     """Verdicts of every document, visual ones merged in."""
-    base = R.evaluate_rules(scenario.documents(spark, sf_dir), scenario.field_results(spark, sf_dir),
+    base = R.evaluate_rules(scenario.documents(spark, sf_dir), scenario.typed_results(spark, sf_dir),
                             scenario.rules(spark), scenario.fields(spark))
     return R.merge_visual_verdicts(base, scenario.visual_verdicts(spark, sf_dir))
 
 
 def first_pass(spark, sf_dir):
-    return R.evaluate_rules(scenario.documents(spark, sf_dir), scenario.field_results(spark, sf_dir),
+    return R.evaluate_rules(scenario.documents(spark, sf_dir), scenario.typed_results(spark, sf_dir),
                             scenario.rules(spark), scenario.fields(spark))
 
 
 def _check(kind):
     def run(spark, sf_dir):
         only = scenario.rules(spark).filter(F.col("check_type") == kind)
-        out = R.evaluate_rules(scenario.documents(spark, sf_dir), scenario.field_results(spark, sf_dir), only,
+        out = R.evaluate_rules(scenario.documents(spark, sf_dir), scenario.typed_results(spark, sf_dir), only,
                                scenario.fields(spark))
         return out.select("doc_id", "rule_id", "status", "severity", "skip_kind")
 
@@ -63,7 +63,7 @@ def sticky_verdicts(spark, sf_dir):
     prior = first_pass(spark, sf_dir).filter(F.col("rule_order") % 3 == 0).withColumns({
         "status": F.when(F.col("doc_id") % 2 == 0, "passed").otherwise(F.col("status")),
         "message": F.lit("earlier run")})
-    out = R.evaluate_rules(scenario.documents(spark, sf_dir), scenario.field_results(spark, sf_dir),
+    out = R.evaluate_rules(scenario.documents(spark, sf_dir), scenario.typed_results(spark, sf_dir),
                            scenario.rules(spark), scenario.fields(spark), prior)
     return out.select("doc_id", "rule_id", "status", (F.col("message") == "earlier run").alias("kept"))
 

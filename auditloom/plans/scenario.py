@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numbers import rule_number
+
 # The five document types, by order priority.
 TYPES = (
     ("1-URGENT", "VIAJES", "VIA"),
@@ -195,6 +197,13 @@ def field_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return field_results_of(wide_documents(spark, sf_dir))
 
 
+def typed_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Field results whose decimals carry their number, as extraction leaves them."""
+    decimals = [name for _, name, kind, *_ in FIELDS if kind == "decimal"]
+    number = F.when(F.col("field_name").isin(decimals), rule_number(F.col("value_text")))
+    return field_results(spark, sf_dir).withColumn("value_num", number)
+
+
 def visual_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One verdict per (labelled document, visual rule of its type)."""
     lab = read(spark, sf_dir, "labels").select(F.col("doc_id"), "quality", "toxic")

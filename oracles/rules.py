@@ -4,7 +4,7 @@ BASE = (RULES, FIELDS, DOCS, MEASURES, WIDE, FIELD_RESULTS, staged_number("field
 PIVOT = """p AS (SELECT doc_id,
   max(num) FILTER (field_name = 'net_amount') AS net, max(num) FILTER (field_name = 'tax_amount') AS tax,
   max(num) FILTER (field_name = 'units') AS units, max(num) FILTER (field_name = 'unit_rate') AS unit_rate,
-  max(value_text) FILTER (field_name = 'reverse_charge') AS rev, max(value_text) FILTER (field_name = 'vat_rate') AS vat,
+  max(value_text) FILTER (field_name = 'reverse_charge') AS rev, max(value_text) FILTER (field_name = 'vat_rate') AS vat, max(num) FILTER (field_name = 'vat_rate') AS vat_num,
   bool_or(field_name IN ('invoice_number', 'invoice_date', 'vendor_name') AND value_text IS NOT NULL AND value_text NOT IN ('', 'null')) AS any_ref
   FROM fn GROUP BY doc_id)"""
 EVAL = """x AS (SELECT d.doc_id, r.*, f.value_text AS v, f.num AS n, f.value_text IS NULL OR f.value_text IN ('', 'null') AS blank,
@@ -21,7 +21,7 @@ ev AS (SELECT doc_id, invoice_type_id, rule_id, rule_name, field_id, check_type,
       WHEN n BETWEEN CAST(split_part(check_value, ',', 1) AS DOUBLE) AND CAST(split_part(check_value, ',', 2) AS DOUBLE) THEN 'passed' ELSE 'failed' END
     WHEN 'enum' THEN CASE WHEN blank THEN CASE WHEN req THEN 'failed' ELSE 'skipped' END WHEN upper(trim(v)) IN ('EUR', 'USD', 'GBP') THEN 'passed' ELSE 'failed' END
     WHEN 'cross_field' THEN CASE WHEN e1 IS NULL OR e2 IS NULL OR n IS NULL THEN 'skipped' WHEN abs(e1 - n) <= 0.02::DOUBLE OR abs(e2 - n) <= 0.02::DOUBLE THEN 'passed' ELSE 'failed' END
-    WHEN 'conditional_check' THEN CASE WHEN lower(coalesce(rev, 'none')) <> 'true' THEN 'skipped' WHEN vat IS NULL OR vat IN ('0', '0.0') THEN 'passed' ELSE 'failed' END
+    WHEN 'conditional_check' THEN CASE WHEN lower(coalesce(rev, 'none')) <> 'true' THEN 'skipped' WHEN vat IS NULL OR vat_num = 0 OR vat = '0' THEN 'passed' ELSE 'failed' END
     WHEN 'required_one_of' THEN CASE WHEN any_ref THEN 'passed' ELSE 'failed' END ELSE 'skipped' END AS status FROM y),
 e0 AS (SELECT *, CASE WHEN status = 'skipped' THEN CASE WHEN check_type = 'visual_check' THEN 'visual' ELSE 'missing' END END AS skip_kind FROM ev)"""
 MERGED = VERDICTS + """,
