@@ -11,6 +11,7 @@ from ..functions.blanks import is_blank, squeeze
 from ..functions.dates import is_date_fragment
 from ..functions.numbers import clamp_unit, rule_number
 from ..functions.text import clean_updates, role_like, sanitize_text, snap_enum
+from .merge_state import attempt_summaries, resolved
 from .scale import CHUNK_ROWS
 
 # Review thresholds, backfill confidence.
@@ -52,100 +53,12 @@ def merge_extractions(
 ) -> DataFrame:
     """Resolve ordered attempts to one value per key.
 
-    Read in order, a value replaces what is held when its confidence is strictly
-    higher; a null attempt replaces a held null (and its confidence) but never a
-    value.  So the held null before the first accepted value is simply the last
-    null attempt, and once a value is held the best confidence wins, earliest
-    first.  Both facts survive cutting the attempts into chunks: each chunk keeps
-    only its best value, the best value ahead of its first null, the best value
-    reachable after that null, and its last null.  No list of attempts is ever
-    collected, and a key holding most of the data is spread over its chunks.
+    See ``merge_state``: a chunk covers ``chunk_rows`` numbers of ``order``, chunks are summarised by
+    themselves and their summaries composed. ``ignore_nulls`` leaves null attempts out altogether.
     """
-    keys = list(keys)
-    value = payload[0]
-    rows = attempts.filter(F.col(value).isNotNull()) if ignore_nulls else attempts
-    has = F.col(value).isNotNull()
-    rows = rows.select(
-        *keys, order, *payload,
-        F.coalesce("confidence", F.lit(0.5)).alias("_conf"),
-        F.expr(f"`{order}` div {int(chunk_rows)}").alias("_chunk"),
-    )
-    chunk_keys = [*keys, "_chunk"]
-    local = Window.partitionBy(*chunk_keys).orderBy(order)
-    earlier = local.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumns(
-        {
-            "_held_null": F.last(F.when(~has, F.col("_conf")), ignorenulls=True).over(earlier),
-            "_pos": F.row_number().over(local).cast("bigint"),
-        }
-    )
-    beats_null = has & (F.col("_conf") > F.col("_held_null"))
-    rows = rows.withColumn(
-        "_opens", F.min(F.when(beats_null, F.col(order))).over(Window.partitionBy(*chunk_keys))
-    )
-    ranked = F.struct(
-        F.col("_conf").alias("conf"), (-F.col(order)).alias("early"), F.col("_pos").alias("pos"),
-        *[F.col(c) for c in payload],
-    )
-    chunks = rows.groupBy(*chunk_keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.max(F.when(has, ranked)).alias("_best"),
-        F.max(F.when(has & F.col("_held_null").isNull(), F.col("_conf"))).alias("_head"),
-        F.max(F.when(has & (F.col(order) >= F.col("_opens")), ranked)).alias("_tail"),
-        F.max(F.when(~has, F.struct(order, F.col("_conf").alias("conf"), F.col("_pos").alias("pos")))).alias("_null"),
-    )
-    by_key = Window.partitionBy(*keys).orderBy("_chunk")
-    before = by_key.rowsBetween(Window.unboundedPreceding, -1)
-    chunks = chunks.withColumns(
-        {
-            "_carried": F.last("_null.conf", ignorenulls=True).over(before),
-            "_prior": F.coalesce(F.sum("_n").over(before), F.lit(0)),
-        }
-    )
-    head_wins = F.col("_head").isNotNull() & (
-        F.col("_carried").isNull() | (F.col("_head") > F.col("_carried"))
-    )
-    chunks = chunks.withColumn("_enter", F.when(head_wins, F.col("_best")).otherwise(F.col("_tail")))
-    chunks = chunks.withColumn(
-        "_from", F.min(F.when(F.col("_enter").isNotNull(), F.col("_chunk"))).over(Window.partitionBy(*keys))
-    )
-
-    def placed(ranked_col: str) -> Column:
-        base = F.col(ranked_col)
-        return F.when(
-            base.isNotNull(),
-            F.struct(
-                base["conf"].alias("conf"), base["early"].alias("early"),
-                (base["pos"] + F.col("_prior")).alias("at"), *[base[c].alias(c) for c in payload],
-            ),
-        )
-
-    final = chunks.groupBy(*keys).agg(
-        F.max(
-            F.when(F.col("_chunk") == F.col("_from"), placed("_enter")).when(
-                F.col("_chunk") > F.col("_from"), placed("_best")
-            )
-        ).alias("_won"),
-        F.max(
-            F.when(
-                F.col("_null").isNotNull(),
-                F.struct(
-                    F.col(f"_null.{order}").alias("late"), F.col("_null.conf").alias("conf"),
-                    (F.col("_null.pos") + F.col("_prior")).alias("at"),
-                ),
-            )
-        ).alias("_gap"),
-        F.sum("_n").alias("retry_count"),
-    )
-    held = F.coalesce(F.col("_won.conf"), F.col("_gap.conf"))
-    return final.select(
-        *keys,
-        *[F.col(f"_won.{c}").alias(c) for c in payload],
-        held.alias("confidence"),
-        F.coalesce(F.col("_won.at"), F.col("_gap.at")).alias("extraction_attempts"),
-        "retry_count",
-        (F.col("_won").isNotNull() & in_batch_band(held)).alias("batch_review"),
-    )
+    rows = attempts.filter(F.col(payload[0]).isNotNull()) if ignore_nulls else attempts
+    held = resolved(attempt_summaries(rows, keys, order, payload, chunk_rows))
+    return held.withColumn("batch_review", F.col("has_value") & in_batch_band(F.col("confidence"))).drop("has_value")
 
 
 def field_retry_counts(attempts: DataFrame) -> DataFrame:

@@ -11,12 +11,12 @@ from .registry import query
 
 @query("merge_extractions")
 def merge_extractions(spark, sf_dir):
-    return X.merge_extractions(scenario.extraction_attempts(spark, sf_dir), payload=("value_text", "source_page"))
+    return X.merge_extractions(scenario.extraction_attempts(spark, sf_dir), payload=("value_text", "source_page"), chunk_rows=scenario.SEQ_SPAN)
 
 
 @query("merge_extractions_ignore_nulls")
 def merge_ignore_nulls(spark, sf_dir):
-    return X.merge_extractions(scenario.extraction_attempts(spark, sf_dir), ignore_nulls=True).drop("extraction_attempts")
+    return X.merge_extractions(scenario.extraction_attempts(spark, sf_dir), ignore_nulls=True, chunk_rows=scenario.SEQ_SPAN).drop("extraction_attempts")
 
 
 @query("coerce_attempts")

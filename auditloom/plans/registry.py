@@ -22,6 +22,7 @@ def query(name: str) -> Callable[[Query], Query]:
 
 def load_all() -> dict[str, Query]:
     from . import (  # noqa: F401
+        queries_audit,
         queries_canonical,
         queries_config,
         queries_evidence,

@@ -220,6 +220,10 @@ def visual_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Numbers of ``seq`` that two lines of an order span.
+SEQ_SPAN = 1 << 53
+
+
 def extraction_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attempts from line items; ``seq`` is the line position in its order."""
     li = read(spark, sf_dir, "lineitem")
@@ -235,6 +239,23 @@ def extraction_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def raw_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two attempts of every field and a third, in a second batch, of every third document."""
+    names = F.array(*[F.lit(f[1]) for f in FIELDS])
+    fr = field_results(spark, sf_dir).select("doc_id", "field_name", "value_text", (F.array_position(names, F.col("field_name")) - 1).alias("i"))
+    k, i, j = F.col("doc_id"), F.col("i"), F.col("seq")
+    tries = fr.withColumn("seq", F.explode(F.when(k % 3 == 0, F.array(F.lit(1), F.lit(2), F.lit(3))).otherwise(F.array(F.lit(1), F.lit(2)))))
+    value = (
+        F.when((j == 1) & ((k + i) % 4 != 0), F.concat(F.lit("<b>"), "value_text", F.lit("</b>")))
+        .when((j == 2) & ((k + i) % 3 == 0), F.col("value_text")).when(j == 3, F.col("value_text"))
+    )
+    return tries.select(
+        "doc_id", "field_name", F.col("seq").cast("bigint").alias("seq"), value.alias("value_text"),
+        (((k * 7 + i * 13 + j * 31) % 101) / 100.0).alias("confidence"), (1 + (k + i + j) % 3).cast("int").alias("source_page"),
+        F.concat(F.lit("r"), j).alias("source_region"), F.when(j == 3, 2).otherwise(1).alias("batch"),
+    )
+
+
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as an execution log: run = user, sequence = event id."""
     e = read(spark, sf_dir, "events")

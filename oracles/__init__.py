@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-PARTS = ("scalar", "config", "extraction", "rules", "evidence", "canonical", "views", "scoring", "runlog", "ledger", "learnings")
+PARTS = ("scalar", "config", "extraction", "rules", "evidence", "canonical", "views", "scoring", "runlog", "ledger", "learnings", "audit")
 
 
 def all_sql() -> dict[str, str]:
