@@ -3,10 +3,11 @@
 Texts with equal shingle sets are one class, found by a 128-bit key of the set, whose 64-bit hash is
 the id below; what follows works on one representative per class. Signatures are cut into bands; equal bands make candidates. In a first
 round each member of a bucket meets only the bucket's smallest member, so a group of thousands costs
-one pair per member. In further rounds, what is not yet connected inside a bucket meets across the
-components: signatures are compared block by block, each id's most similar partners are confirmed
-first, and rounds go on with four times as many until nothing plausible is left untested. So no
-candidate link between different groups is lost, yet pairs inside a group are never written out.
+one pair per member. In a second round, what is not yet connected inside a bucket meets across the
+components, the largest one's members left out among themselves: in pieces of two blocks signatures are
+compared, plausible pairs are confirmed on full sets at once, the most similar first, and pairs that the
+piece has connected are skipped. So no candidate link between different groups is lost, yet pairs are
+never written out: a piece returns at most one link for each of its ids.
 
 A pair is judged by batches of its signatures: with m of n equal and a uniform prior, the similarity is
 beta distributed and P(similarity >= threshold) is a binomial tail; below ``MISS`` the pair is dropped.
@@ -45,9 +46,8 @@ LONG_HASHES = 768
 #: Chance to drop a link at one look at the signatures, and signatures per look.
 MISS = 1e-5
 BATCH = 16
-#: Ids of one block of a bucket; pairs of an id and block that the second round tests first.
+#: Ids of one block of a bucket.
 BLOCK = 512
-PER_ID = 4
 SLICE_BYTES = 1 << 20
 _RNG = np.random.default_rng(7)
 _MULTIPLY = _RNG.integers(0, 2**63, LONG_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -154,14 +154,14 @@ def least_matches(hashes: int = HASHES, threshold: float = PERCENT / 100, miss:
 
 
 def long_signatures(sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, signs): ``LONG_HASHES`` signatures of 16 bits for the given ids."""
+    """(id, signs, shingles): ``LONG_HASHES`` signatures of 16 bits beside the full sets of the given ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             signs = [signature(np.frombuffer(x.as_buffer(), np.uint64), LONG_HASHES).astype(np.uint16).tobytes() for x in batch.column("shingles")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(signs, pa.binary())], ["id", "signs"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(signs, pa.binary()), batch.column("shingles")], ["id", "signs", "shingles"])
 
-    return sets.join(ids, "id", "left_semi").select("id", "shingles").mapInArrow(run, "id bigint, signs binary")
+    return sets.join(ids, "id", "left_semi").select("id", "shingles").mapInArrow(run, "id bigint, signs binary, shingles binary")
 
 
 def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -202,6 +202,12 @@ def full_sets(docs: DataFrame, ids: DataFrame, repeated: DataFrame) -> DataFrame
     return materialize(found.join(repeated, "doc_id", "left_anti").select("id", "shingles").union(many), "sets")
 
 
+def linked(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets reach the similarity."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Links among the pairs: confirmed on full sets."""
 
@@ -209,9 +215,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             keep = []
             for k, (x, y) in enumerate(zip(batch.column("xa"), batch.column("xb"), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= PERCENT * (len(x) + len(y) - both):
+                if linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)):
                     keep.append(k)
             yield batch.take(pa.array(keep, pa.int64())).select(["a", "b"])
 
@@ -241,19 +245,21 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.R
         yield from rest.combine_chunks().to_batches()
 
 
-def block_pairs(placed: DataFrame, signs: DataFrame, classes: DataFrame, above: int, per_id: int) -> DataFrame:
-    """(a, b, more): plausible pairs across components inside buckets, ranked ``above`` to ``per_id`` of an id in its block.
+def block_links(placed: DataFrame, signs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between components inside buckets: enough of them to connect all that any link connects.
 
-    A bucket is cut into blocks of about ``BLOCK`` ids and each pair of blocks is one piece of work, so
-    neither a task nor a group grows with the bucket. A pair belongs to the first band that its ids
-    share and keeps its rank, so all rounds together give it once. ``more``: a block had further pairs.
+    Members of a bucket's largest component need not meet each other, so only the others form blocks that
+    meet the whole bucket: blocks of the others and chunks of the largest component, about ``BLOCK`` ids
+    each, and every (block, block or chunk) is one piece of work. A piece looks at the signatures, then at
+    the full sets of plausible pairs, the most similar first, and skips pairs that its own links connect
+    already; so what it returns grows with its ids, not with its pairs. A pair belongs to the first band
+    that its ids share.
     """
     bounds = least_matches(LONG_HASHES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _groups(batches, ["band", "lo", "hi"]):
-            g = g.take(pa.array(np.argsort(g.column("id").to_numpy(), kind="stable")))  # the same order, hence ranks, in each round
-            ids, comps = g.column("id").to_numpy(), g.column("component").to_numpy()
+            ids, comps = g.column("id").to_numpy(), np.unique(g.column("component").to_numpy(), return_inverse=True)[1]
             signs = np.frombuffer(b"".join(g.column("signs").to_pylist()), np.uint16).reshape(-1, LONG_HASHES)
             bands = np.frombuffer(b"".join(g.column("bands").to_pylist()), np.int64).reshape(-1, BANDS)
             own, lo, hi = g.column("own").to_numpy(), g.column("lo")[0].as_py(), g.column("hi")[0].as_py()
@@ -261,6 +267,8 @@ def block_pairs(placed: DataFrame, signs: DataFrame, classes: DataFrame, above:
                 i, j = np.triu_indices(len(ids), 1)
             else:
                 i, j = (x.ravel() for x in np.meshgrid(np.nonzero(own == lo)[0], np.nonzero(own == hi)[0], indexing="ij"))
+            across = comps[i] != comps[j]
+            i, j = i[across], j[across]
             same = np.zeros(len(i), np.int64)
             for start, n, least in bounds:
                 part = signs[:, start:n]
@@ -275,32 +283,36 @@ def block_pairs(placed: DataFrame, signs: DataFrame, classes: DataFrame, above:
             if not len(i):
                 continue
             best = np.argsort(-same, kind="stable")
-            i, j = i[best], j[best]
-            rank = np.minimum(_rank_in(i), _rank_in(j))
-            across = comps[i] != comps[j]
-            chosen = across & (rank >= above) & (rank < per_id)
-            x, y = ids[i[chosen]], ids[j[chosen]]
-            more = np.zeros(len(x), bool)
-            if (across & (rank >= per_id)).any():
-                x, y, more = np.append(x, 0), np.append(y, 0), np.append(more, True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(more)], ["a", "b", "more"])
-
-    sizes = placed.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = placed.select("band", "id", "component").join(sizes, "band").join(signs, "id").join(classes.select("id", "bands"), "id")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "component", "signs", "bands")
-    return rows.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi").mapInArrow(run, "a bigint, b bigint, more boolean")
-
-
-def _rank_in(keys: np.ndarray) -> np.ndarray:
-    """How many earlier entries have the same key."""
-    order = np.argsort(keys, kind="stable")
-    first = np.concatenate([[True], keys[order][1:] != keys[order][:-1]])
-    rank = np.empty(len(keys), np.int64)
-    at = np.arange(len(keys))
-    rank[order] = at - np.maximum.accumulate(np.where(first, at, 0))
-    return rank
+            sets, root = g.column("shingles"), list(range(int(comps.max()) + 1))
+
+            def top(c: int, root=root) -> int:
+                while root[c] != c:
+                    root[c] = c = root[root[c]]
+                return c
+
+            x, y = [], []
+            for p, q in zip(i[best].tolist(), j[best].tolist()):
+                one, two = top(comps[p]), top(comps[q])
+                if one != two and linked(np.frombuffer(sets[p].as_buffer(), np.uint64), np.frombuffer(sets[q].as_buffer(), np.uint64)):
+                    root[one] = two
+                    x.append(int(ids[p]))
+                    y.append(int(ids[q]))
+            if x:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+
+    each = placed.groupBy("band", "component").agg(F.count("*").alias("n"))
+    sizes = each.groupBy("band").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n")).select(
+        "band", F.col("most.component").alias("largest"), F.ceil((F.col("n") - F.col("most.n")) / BLOCK).cast("int").alias("blocks"),
+        F.ceil(F.col("most.n") / BLOCK).cast("int").alias("chunks"))
+    rows = placed.select("band", "id", "component").join(sizes, "band")
+    inside = F.col("component") == F.col("largest")
+    mix = F.xxhash64("id")
+    rows = rows.withColumn("own", F.when(inside, F.col("blocks") + F.pmod(mix, "chunks")).otherwise(F.pmod(mix, "blocks")).cast("int"))
+    last = F.when(inside, F.col("blocks")).otherwise(F.col("blocks") + F.col("chunks")) - 1
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    rows = rows.select("band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "component")
+    rows = rows.join(signs, "id").join(classes.select("id", "bands"), "id")
+    return rows.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi").mapInArrow(run, "a bigint, b bigint")
 
 
 def judged(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -317,20 +329,12 @@ def judged(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     tested = materialize(plausible(star, classes), "plausible")
     sets = full_sets(docs, classes.join(members.select("id").distinct(), "id", "left_semi").select("id", "doc_id"), repeated)
     links = materialize(confirmed(tested, sets), "links")
-    above, per_id, signs = 0, PER_ID, None
-    while True:
-        labels = components(links)
-        placed = members.join(labels, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
-        open_bands = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-        placed = placed.join(open_bands, "band")
-        if signs is None:  # the first round's open buckets hold those of all later rounds
-            signs = materialize(long_signatures(sets, placed.select("id").distinct()), "signs")
-        found = materialize(block_pairs(placed, signs, classes, above, per_id), "pairs")
-        fresh = materialize(found.where("not more").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "fresh")
-        if fresh.isEmpty() and found.where("more").isEmpty():
-            break
-        links = links.union(materialize(confirmed(fresh, sets), "links"))
-        above, per_id = per_id, per_id * 8
+    labels = components(links)
+    placed = members.join(labels, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
+    open_bands = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
+    placed = materialize(placed.join(open_bands, "band"), "placed")
+    signs = materialize(long_signatures(sets, placed.select("id").distinct()), "signs")
+    labels = components(links.union(materialize(block_links(placed, signs, classes), "links")))
     placed = classes.join(labels, "id", "left").select("set_key", "doc_id", F.coalesce("component", "id").alias("component"))
     smallest = placed.groupBy("component").agg(F.min("doc_id").alias("smallest"))
     labels = placed.drop("doc_id").join(smallest, "component")

@@ -209,6 +209,35 @@ def test_near_duplicates_are_the_components_of_all_links(spark, docs, nothing):
     assert near_dedup.near_duplicates(nothing).collect() == []
 
 
+@pytest.mark.parametrize("block", [16, 512])
+def test_loose_copies_are_linked_as_by_brute_force(spark, monkeypatch, block):
+    """Many copies just above and below the threshold, in blocks of any size."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    base = [f"w{k}" for k in range(300)]
+    rows = []
+    for i in range(260):
+        text = list(base)
+        for k in rng.choice(300, int(rng.integers(4, 14)), replace=False):
+            text[k] = f"x{i}_{k}"
+        rows.append((i, " ".join(text)))
+    sets = {i: {tuple(t.split()[k:k + 5]) for k in range(296)} for i, t in rows}
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sets:
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                one, two = sorted((top(a), top(b)))
+                root[two] = one
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {i: top(i) for i in sets}
+
+
 def test_texts_that_share_an_id_are_judged_apart(spark):
     left, right, alone = (" ".join(f"{name}{k}" for k in range(60)) for name in ("left", "right", "alone"))
     edited = lambda t: t.replace("30", "x")
