@@ -3,7 +3,7 @@
 A page is cut at block-level tags into flat blocks. Each block is described by its words, its link
 density, the same of its neighbours and its place (inside an article, inside a menu, footer, form or a
 container whose class or id names one of these). A decision tree, grown here from the small labelled
-table below, tells article text from the rest. Tags are read in one pass; markup that is broken off or
+table below, tells article text from the rest. Tags are read in one pass of linear time; markup that is broken off or
 never closed does no harm, since only the containers on the way are kept on a stack. Elements without
 text of the page go with what is in them only if they are closed; a head or title also ends at the body
 or the first block. Only an open comment, script or style takes the rest of the page, as in browsers.
@@ -41,10 +41,11 @@ OTHER_NAMES = (r"(?:^|[^a-z])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|men
                r"respond|log-?in|sign-?up|widgets?|paginat\w*|pager|copyright|search\w*|skip)(?:$|[^a-z])")
 LAYOUT_NAMES = set("with without has have no not hide show layout column columns template category tag format type status open closed enabled disabled".split())
 
-_CODE = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(CODE.split()) + r")(?=[\s/>])[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))", re.S | re.I)
-_RAW = re.compile(r"<(/?)(" + "|".join(RAW.split()) + r")(?=[\s/>])[^>]*>", re.I)
+# Every repetition below is possessive or ends at the end of the page, so none is tried again from the same place.
+_CODE = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(CODE.split()) + r")(?=[\s/>])[^>]*+(?:\Z|(?<=/)>|>.*?(?:</\1\s*>|\Z))", re.S | re.I)
+_RAW = re.compile(r"<(/?)(" + "|".join(RAW.split()) + r")(?=[\s/>])[^>]*+(?:>|\Z)", re.I)
 _BODY = re.compile(r"<(?:" + "|".join(set(BLOCK) - {"html"}) + r")(?=[\s/>])", re.I)
-_TAG = re.compile(r"""(<[a-zA-Z/!?](?:[^>"']+|"[^"]*"|'[^']*')*>|<[a-zA-Z/!?][^>]*(?:>|\Z))""")
+_TAG = re.compile(r"""(<[a-zA-Z/!?](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|<[a-zA-Z/!?][^>]*+(?:>|\Z))""")
 _NAME = re.compile(r"</?\s*([a-zA-Z][a-zA-Z0-9]*)")
 _NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"""\shidden(?:[\s>=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
@@ -192,17 +193,18 @@ def without_raw(page: str) -> str:
             (heads if name == "head" else spans).append((start, m.end()))
     heads += [(start, -1) for name, start in opened if name in ("head", "title")]
     spans = _outer(spans)
-    starts, done = [a for a, _ in spans], 0
+    starts, done, bodies = [a for a, _ in spans], 0, True
     for start, end in sorted(heads):
         if start < done:
             continue
         at, body = start, None
-        while body is None and (m := _BODY.search(page, at)):
+        while bodies and body is None and (m := _BODY.search(page, at)):
             k = bisect_right(starts, m.start()) - 1
             if k >= 0 and m.start() < spans[k][1]:
                 at = spans[k][1]
             else:
                 body = m.start()
+        bodies = body is not None
         done = min(x for x in (body, end) if x is not None and x >= 0) if body is not None or end >= 0 else start
         if done > start:
             spans.append((start, done))

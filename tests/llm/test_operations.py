@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -388,3 +389,14 @@ def test_toxicity_is_learnt_and_scores_every_document(spark):
     assert np.mean([r["predicted"] == (r["doc_id"] % 4 == 0) for r in held]) >= 0.9
     empty = toxicity.toxicity(docs, labels.limit(0)).collect()
     assert len(empty) == len(rows)
+
+
+@pytest.mark.parametrize("page", [
+    "<article><p>text <a " + "x" * 60_000, "<article><p>text <a class=" + "y" * 60_000, "<p>if a <b then it is so and it isn't " + "it " * 20_000 + "</p>",
+    "<p>text</p>" + "<a xxxx" * 150_000, "<p>text</p>" + "<script " * 50_000, "<p>text</p>" + "<button " * 50_000, "<title>" * 20_000 + " x" * 20_000,
+    "<p>a</p>" + "<a href='" * 60_000, "<p>a</p>" + "<a b=\"'>" * 60_000, "<p>value x <y and then a long sentence " + "z" * 60_000, "<!--" * 50_000, "<head>" * 20_000 + "a" * 50_000])
+def test_broken_markup_is_read_in_linear_time(page):
+    tree, started = html_text.trained_tree(), time.perf_counter()
+    html_text.main_text(page, tree)
+    assert time.perf_counter() - started < 3
+    assert html_text.main_text("<article><h1>A title</h1><p>" + "word " * 40 + "</p></article>" + page, tree).startswith("A title")
