@@ -28,7 +28,7 @@ from .rolling import LOWER, RangeHash, mixed, text_slices
 
 TRAIN_DOCS = 3000
 TRAIN_CHARS = 20_000
-WINDOW, STRIDE = 40, 30
+WINDOW, STRIDE = 40, 20
 TABLE_SIZE = 1 << 13
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8, 8, 8, 8
 SLICE_BYTES = 1 << 20
@@ -279,11 +279,15 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.n
     known = labels.where("doc_id is not null and toxic is not null").where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
     known = known.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("label"))
     share = known.agg(F.avg("label")).first()[0] or 0.0
-    text = docs.where(F.length("text") <= TRAIN_CHARS).select(F.col("doc_id").cast("long").alias("id"), "text")
-    rows = text.join(known, "id").withColumn("order", F.xxhash64("id"))
-    parts = [rows.where(F.col("label") == k).orderBy("order", "text").limit(n) for k, n in ((1, TRAIN_DOCS // 3), (0, TRAIN_DOCS - TRAIN_DOCS // 3))]
-    picked = parts[0].union(parts[1]).select("text", "label").collect()
-    return [r["text"] for r in picked], np.array([r["label"] for r in picked], np.int64), float(share)
+    # Rows are drawn by id and hash; a join with the few that are drawn then reads their texts, so no text is shuffled.
+    short = docs.where(F.length("text") <= TRAIN_CHARS).select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_key"), "text")
+    rows = short.select("id", "text_key").join(known, "id").distinct().withColumn("order", F.xxhash64("id"))
+    parts = [rows.where(F.col("label") == k).orderBy("order", "text_key").limit(n) for k, n in ((1, TRAIN_DOCS // 3), (0, TRAIN_DOCS - TRAIN_DOCS // 3))]
+    drawn = [(r["id"], r["text_key"], r["label"]) for part in parts for r in part.collect()]
+    few = docs.sparkSession.createDataFrame([r[:2] for r in drawn], "id long, text_key long")
+    read = short.join(few, ["id", "text_key"]).groupBy("id", "text_key").agg(F.any_value("text").alias("text"))
+    texts = {(r["id"], r["text_key"]): r["text"] for r in read.collect()}
+    return [texts[r[:2]] for r in drawn], np.array([r[2] for r in drawn], np.int64), float(share)
 
 
 def score_documents(docs: DataFrame, net: Network) -> DataFrame:
