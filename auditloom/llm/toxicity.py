@@ -285,7 +285,7 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.n
     parts = [rows.where(F.col("label") == k).orderBy("order", "text_key").limit(n) for k, n in ((1, TRAIN_DOCS // 3), (0, TRAIN_DOCS - TRAIN_DOCS // 3))]
     drawn = [(r["id"], r["text_key"], r["label"]) for part in parts for r in part.collect()]
     few = docs.sparkSession.createDataFrame([r[:2] for r in drawn], "id long, text_key long")
-    read = short.join(few, ["id", "text_key"]).groupBy("id", "text_key").agg(F.any_value("text").alias("text"))
+    read = short.join(F.broadcast(few), ["id", "text_key"])  # at most TRAIN_DOCS rows.groupBy("id", "text_key").agg(F.any_value("text").alias("text"))
     texts = {(r["id"], r["text_key"]): r["text"] for r in read.collect()}
     return [texts[r[:2]] for r in drawn], np.array([r[2] for r in drawn], np.int64), float(share)
 
