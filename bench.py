@@ -1,4 +1,4 @@
-"""Time the headline queries and print one JSON line."""
+"""Time the headline queries; each prints a JSON line with all figures so far, the last line has them all."""
 
 from __future__ import annotations
 
@@ -37,9 +37,9 @@ def main() -> None:
         started = time.perf_counter()
         queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         timings[name] = round(time.perf_counter() - started, 3)
-        print(name, timings[name], file=sys.stderr, flush=True)
-    print(json.dumps({"metric": "headline audit queries, total wall time", "value": round(sum(timings.values()), 3), "unit": "sec",
-                      "queries": timings, "sf": Path(sf_dir).name.removeprefix("sf")}))
+        # A full line after each query, so that a run broken off leaves its figures; ``left`` names what has not run.
+        print(json.dumps({"metric": "headline audit queries, total wall time", "value": round(sum(timings.values()), 3), "unit": "sec",
+                          "queries": timings, "sf": Path(sf_dir).name.removeprefix("sf"), "left": list(names[len(timings):])}), flush=True)
     spark.stop()
 
 
