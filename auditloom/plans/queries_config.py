@@ -17,10 +17,16 @@ def raw_types(spark, sf_dir):
                     F.col("c_mktsegment").alias("description"), F.lit("ctx\n").alias("agent_context"), F.when(k % 4 == 0, "False").otherwise("TRUE").alias("enabled"))
 
 
+def some_type(spark, sf_dir):
+    """A type for each part: types are as many as customers, at every size."""
+    types = scenario.read(spark, sf_dir, "customer").agg(F.count(F.lit(1)).alias("n")).scalar()
+    return F.concat(F.lit("T"), F.col("p_partkey") % types)
+
+
 def raw_fields(spark, sf_dir):
     p = scenario.read(spark, sf_dir, "part")
     k = F.col("p_partkey")
-    return p.select(F.concat(F.lit("F"), k).alias("field_id"), F.concat(F.lit("T"), k % 1500).alias("invoice_type_id"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("field_name"),
+    return p.select(F.concat(F.lit("F"), k).alias("field_id"), some_type(spark, sf_dir).alias("invoice_type_id"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("field_name"),
                     F.col("p_name").alias("field_label"), F.lit("string").alias("data_type"), F.when(k % 3 == 0, "true").otherwise("no").alias("required"),
                     F.lit("hint").alias("extraction_hint"), F.lit("body").alias("page_region"), F.concat("p_brand", F.lit(", ,"), "p_type", F.lit(" ,")).alias("aliases"))
 
@@ -28,9 +34,9 @@ def raw_fields(spark, sf_dir):
 def raw_allowed(spark, sf_dir):
     p = scenario.read(spark, sf_dir, "part")
     k = F.col("p_partkey")
-    rows = p.filter("p_partkey % 5 < 2").select(F.replace("p_name", F.lit(" "), F.lit("_")).alias("field_name"),
-                                                F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("T"), k % 1500)).alias("invoice_type_id"),
-                                                F.when(k % 20 == 0, " ").otherwise(F.col("p_brand")).alias("value"), k.alias("line_no"))
+    rows = p.select(F.replace("p_name", F.lit(" "), F.lit("_")).alias("field_name"),
+                    F.when(k % 5 == 0, "").otherwise(some_type(spark, sf_dir)).alias("invoice_type_id"),
+                    F.when(k % 20 == 0, " ").otherwise(F.col("p_brand")).alias("value"), k.alias("line_no"))
     return rows.groupBy("field_name", "invoice_type_id", "value").agg(F.min("line_no").alias("line_no"))
 
 

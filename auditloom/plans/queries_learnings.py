@@ -114,6 +114,6 @@ def carry_heading(spark, sf_dir):
 @query("next_learning_id")
 def next_learning_id(spark, sf_dir):
     """Dense ids after the largest one, in event order, over the whole table."""
-    e = scenario.read(spark, sf_dir, "events").filter("event_type = 'signup'").select("event_id")
+    e = scenario.read(spark, sf_dir, "events").select("event_id")
     rows = running(e, [], "event_id", [Prefix("rank", "sum", F.lit(1))], chunk_rows=512)
     return rows.select("event_id", N.format_id(F.lit(41) + F.col("rank")).alias("learning_id"))

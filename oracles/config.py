@@ -1,9 +1,9 @@
 from .base import with_
 
 TYPES = "ty AS (SELECT 'T' || c_custkey AS invoice_type_id, c_name AS display_name, c_mktsegment AS description, 'ctx' AS agent_context FROM customer WHERE c_custkey % 4 <> 0)"
-ALLOWED = """al0 AS (SELECT replace(p_name, ' ', '_') AS field_name, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE 'T' || (p_partkey % 1500) END AS invoice_type_id, CASE WHEN p_partkey % 20 = 0 THEN '' ELSE p_brand END AS value, min(p_partkey) AS line_no FROM part WHERE p_partkey % 5 < 2 GROUP BY ALL),
+ALLOWED = """al0 AS (SELECT replace(p_name, ' ', '_') AS field_name, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE 'T' || (p_partkey % (SELECT count(*) FROM customer)) END AS invoice_type_id, CASE WHEN p_partkey % 20 = 0 THEN '' ELSE p_brand END AS value, min(p_partkey) AS line_no FROM part GROUP BY ALL),
 al AS (SELECT field_name, invoice_type_id, string_agg(value, '|' ORDER BY line_no, value) AS allowed_values FROM al0 WHERE value <> '' GROUP BY ALL)"""
-FIELDS = """fl AS (SELECT 'F' || p_partkey AS field_id, 'T' || (p_partkey % 1500) AS invoice_type_id, replace(p_name, ' ', '_') AS field_name, p_partkey % 3 = 0 AS required, p_brand || '|' || p_type AS aliases FROM part WHERE 'T' || (p_partkey % 1500) IN (SELECT invoice_type_id FROM ty))"""
+FIELDS = """fl AS (SELECT 'F' || p_partkey AS field_id, 'T' || (p_partkey % (SELECT count(*) FROM customer)) AS invoice_type_id, replace(p_name, ' ', '_') AS field_name, p_partkey % 3 = 0 AS required, p_brand || '|' || p_type AS aliases FROM part WHERE 'T' || (p_partkey % (SELECT count(*) FROM customer)) IN (SELECT invoice_type_id FROM ty))"""
 RULES = """ru AS (SELECT 'R_' || o_orderkey AS rule_id, 'T' || o_custkey AS invoice_type_id, '' AS check_value, CASE WHEN o_orderkey % 2 = 0 THEN 'error' ELSE 'warning' END AS severity, CASE WHEN o_orderkey % 3 = 0 THEN 'grants' ELSE 'general' END AS rule_group
   FROM orders WHERE o_orderkey % 6 <> 0 AND 'T' || o_custkey IN (SELECT invoice_type_id FROM ty))"""
 REFS = """rf AS (SELECT o_custkey AS folder, ['compliance_rules.csv', 'extraction_fields.csv', 'invoice_types.csv', 'allowed_values.csv', 'employee_name_role_denylist.txt', 'ground_truth.csv', 'notes.md'][1 + o_orderkey % 7] AS name, 'id' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS id,

@@ -26,5 +26,5 @@ md5(CASE WHEN i % 9 = 2 THEN trim('plain ' || t) ELSE t END) AS content FROM md1
     "vision_hints": with_(STORE) + "SELECT min(learning_id) AS learning_id, md5(arg_min(trim(content), learning_id)) AS digest FROM st WHERE category = 'vision_model_extraction' GROUP BY lower(trim(content))",
     "first_occurrence": "SELECT min(event_id) AS event_id, event_type || ':' || user_id AS what FROM events GROUP BY 2",
     "carry_heading": "WITH a AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS line_no FROM documents) SELECT doc_id, line_no, last_value(CASE WHEN length(line) % 5 = 0 THEN md5(line) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) AS heading FROM a",
-    "next_learning_id": f"SELECT event_id, {fmt('n')} AS learning_id FROM (SELECT event_id, 41 + row_number() OVER (ORDER BY event_id) AS n FROM events WHERE event_type = 'signup')",
+    "next_learning_id": f"SELECT event_id, {fmt('n')} AS learning_id FROM (SELECT event_id, 41 + row_number() OVER (ORDER BY event_id) AS n FROM events)",
 }

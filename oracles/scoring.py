@@ -34,7 +34,7 @@ SCORES = """sc AS MATERIALIZED (SELECT doc_id, count(*) FILTER (o = 'exact') AS
 TRULES = "tr AS (SELECT doc_id, rule_id, CASE (doc_id + rule_order) % 3 WHEN 0 THEN 'passed' WHEN 1 THEN 'failed' ELSE '' END AS truth_status FROM docs JOIN rules USING (invoice_type_id))"
 RSCORE = "rs AS MATERIALIZED (SELECT tr.doc_id, count(*) FILTER (status = truth_status) AS rules_correct, count(*) AS rules_total FROM tr LEFT JOIN e0 ON e0.doc_id = tr.doc_id AND e0.rule_id = tr.rule_id WHERE truth_status <> '' GROUP BY tr.doc_id)"
 FILES = """tf AS (SELECT p_partkey AS line_no, CASE WHEN p_partkey % 10 = 0 THEN 'gd' || p_partkey END AS source_id, CASE WHEN p_partkey % 20 = 0 THEN CAST(p_partkey % 5 AS VARCHAR) END AS revision_id,
-  CASE WHEN p_partkey % 50 = 2 THEN p_type ELSE p_name || ' ' || p_brand END AS source_name FROM part WHERE p_partkey % 2 = 0),
+  CASE WHEN p_partkey % 50 = 2 THEN p_type ELSE p_name || ' ' || p_brand END AS source_name FROM part),
 nd AS (SELECT l_orderkey AS doc_id, 'gd' || p_partkey AS source_id, CAST(l_orderkey % 5 AS VARCHAR) AS revision_id, CASE l_orderkey % 3 WHEN 0 THEN p_name || '-' || p_brand || '-' || l_orderkey WHEN 1 THEN p_type || ' ' || p_name ELSE p_brand END AS nm
   FROM (SELECT l_orderkey, min(l_partkey) AS p_partkey FROM lineitem GROUP BY 1) JOIN part USING (p_partkey)),
 tk AS (SELECT line_no, source_id, revision_id, regexp_replace(lower(source_name), '[^a-z0-9]+', '', 'g') AS k FROM tf), dk AS (SELECT DISTINCT regexp_replace(lower(nm), '[^a-z0-9]+', '', 'g') AS k FROM nd)"""
