@@ -14,10 +14,14 @@ WORD_CLASS = r"[^\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; an own one only where that is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; an own one only where that is unset.
+
+    In local mode that is a temporary folder, on a cluster a folder of the warehouse, which all executors share.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="llm-shared-")
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        configured = tempfile.mkdtemp(prefix="llm-shared-") if spark.sparkContext.master.startswith("local") else f"{warehouse}/llm-shared"
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")
 
@@ -46,6 +50,22 @@ def staged(df: DataFrame, name: str, value: Column, keep: list[str] | None = Non
     return df.select(*(keep if keep is not None else ["*"]), F.explode(F.array(value)).alias(name))
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of ``df`` in one struct, out of the way of the names that an operator adds."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
+
+
+def unpacked(df: DataFrame, row: str, like: DataFrame, made: dict[str, Column]) -> DataFrame:
+    """The columns of ``like`` from the struct ``row``, those in ``made`` replaced."""
+    return df.select(*[(made[c] if c in made else F.col(row)[c]).alias(c) for c in like.columns])
+
+
+def ordered_by(df: DataFrame, row: str) -> Column:
+    """The struct ``row`` as a sort key; as JSON where a part of it has no order."""
+    kind = df.schema[row].dataType.simpleString()
+    return F.to_json(row) if "map<" in kind or "variant" in kind else F.col(row)
+
+
 def words_of(text: Column) -> Column:
     """Words of a text (null: none) as an array of strings."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), "")

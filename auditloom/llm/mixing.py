@@ -11,7 +11,7 @@ Targets: sources ordered by code point, null last, weigh ``WEIGHTS`` in turn and
 words; a target stops at ``cap`` times its source's words and the excess is shared again by weight.
 
 Defined results: null or empty text has size 0 and nothing is taken; null sources are one source, apart
-from the empty name; equal rows are interchangeable; an empty table gives an empty result. Only one
+from the empty name; equal rows are interchangeable; further columns may have any name and kind; an empty table gives an empty result. Only one
 window has no partition key: the one over the sources themselves, one row each.
 """
 
@@ -22,7 +22,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, row_key, words_of
+from .common import materialize, ordered_by, row_key, unpacked, whole_row, words_of
 
 WEIGHTS = (3, 1, 2)
 #: Documents of one bucket, about; the number of buckets follows the table.
@@ -67,7 +67,7 @@ def mix(docs: DataFrame, carry: list[str] | None = None, share_percent: int = 15
     parts = parts.withColumn("offset", offset).alias("p").join(targets.alias("t"), F.expr("p.source <=> t.source")).select(
         F.col("p.source").alias("p_source"), F.col("p.bucket").alias("p_bucket"), "p.offset", "t.source_size", "t.target")
     joined = sized.join(parts, F.expr("source <=> p_source and bucket = p_bucket"))
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "row").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("key", ordered_by(sized, "row")).rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0).cast("long"))
     budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(0)
@@ -81,7 +81,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     A cut text is its first words, joined by spaces; ``n_chars`` follows. Columns are those of ``docs``.
     """
-    kept = F.struct(*docs.columns).alias("__doc")
+    kept = whole_row(docs).alias("__doc")
     rows = mix(docs.select("doc_id", "text", "source", kept), ["__doc"]).where("taken > 0")
     rows = rows.withColumn("part", F.explode(F.expr(
         "concat(array_repeat(size, cast(taken div size as int)), if(taken % size > 0, array(taken % size), array()))")))
@@ -89,4 +89,4 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     text = F.when(cut, F.array_join(F.slice(words_of(F.col("__doc.text")), 1, F.col("part").cast("int")), " ")).otherwise(F.col("__doc.text"))
     out = rows.select("__doc", cut.alias("cut"), text.alias("text"))
     made = {"text": F.col("text"), "n_chars": F.when(F.col("cut"), F.length("text").cast("long")).otherwise(F.col("__doc")["n_chars"])}
-    return out.select(*[(made[c] if c in made else F.col("__doc")[c]).alias(c) for c in docs.columns])
+    return unpacked(out, "__doc", docs, made)

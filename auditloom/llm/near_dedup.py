@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import materialize
+from .common import materialize, ordered_by, unpacked, whole_row
 from .components import components
 from .rolling import IS_SPACE, LOWER, RangeHash, mixed, text_slices
 
@@ -366,17 +366,18 @@ def with_set_key(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group, of the smallest id; rows without id or shingles stay."""
     verdicts, repeated = judged(docs)
-    several = not repeated.isEmpty()
-    if several:
+    any_repeated = not repeated.isEmpty()
+    if any_repeated:
         verdicts = materialize(verdicts, "verdicts")
     gone = verdicts.where("not kept").select("doc_id").union(repeated).select(F.col("doc_id").alias("_gone")).distinct()
     single = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    if not several:
+    if not any_repeated:
         return single
     # ids of several rows: each row by its own text
-    keyed = with_set_key(docs.join(repeated.withColumnRenamed("doc_id", "_gone"), docs["doc_id"] == F.col("_gone"), "left_semi"))
+    several = docs.select("doc_id", "text", whole_row(docs).alias("doc")).join(repeated, "doc_id", "left_semi")
+    keyed = with_set_key(several)
     kept = verdicts.where("kept and component is not null").select(F.col("doc_id").alias("_id"), F.col("set_key").alias("_set"), F.col("component").alias("_component")).distinct()
     rows = keyed.join(kept, (F.col("doc_id") == F.col("_id")) & (F.col("_key") == F.col("_set")))
-    order = F.xxhash64(*[f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
-    first = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("_component").orderBy("_key", order))).where("_rank = 1")
-    return single.union(first.select(docs.columns)).union(keyed.where("_key is null").select(docs.columns))
+    order = Window.partitionBy("_component").orderBy("_key", ordered_by(rows, "doc"))
+    first = rows.withColumn("_rank", F.row_number().over(order)).where("_rank = 1")
+    return single.union(unpacked(first, "doc", docs, {})).union(unpacked(keyed.where("_key is null"), "doc", docs, {}))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, words_of
+from .common import staged, unpacked, whole_row, words_of
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -124,9 +124,8 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """Kept documents with their cleaned text, in the columns of ``docs``."""
-    out = measure(docs).where("__quality.kept").withColumn("text", F.col("__quality.cleaned"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    """Kept documents with their cleaned text, in the columns of ``docs``; ``n_chars`` follows."""
+    out = measure(docs.select("text", whole_row(docs.drop("text")).alias("rest"))).where("__quality.kept")
+    cleaned = F.col("__quality.cleaned")
+    return unpacked(out, "rest", docs, {"text": cleaned, "n_chars": F.length(cleaned).cast("long")})
 

@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, row_key, staged
+from .common import let, row_key, staged, unpacked, whole_row
 
 
 @dataclass(frozen=True)
@@ -241,18 +241,42 @@ def secrets_report(docs: DataFrame) -> DataFrame:
                         spans_text(F.col("__secrets")).alias("spans"))
 
 
+def _reach(ends: Column) -> Column:
+    """For each entry the largest of those before it (0 for the first), in blocks of ``BLOCK`` entries."""
+
+    def carried(most: Column) -> Column:
+        before = F.transform(most, lambda _, b: F.coalesce(F.array_max(F.slice(most, 1, b)), F.lit(0)))
+        return let(before, lambda at: F.transform(ends, lambda _, i: F.greatest(
+            F.get(at, F.floor(i / BLOCK).cast("int")),
+            F.coalesce(F.array_max(F.slice(ends, F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK)), F.lit(0)))))
+
+    n_blocks = F.ceil(F.size(ends) / BLOCK).cast("int")
+    return let(F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda b: F.array_max(F.slice(ends, b * BLOCK + 1, BLOCK))), carried)
+
+
+def _pieces(text: Column, gaps: Column, mark: str) -> Column:
+    """The texts of the gaps joined by ``mark``; a block of gaps is cut out first, each gap from its block."""
+
+    def block(part: Column) -> Column:
+        start = part[0]["start"]
+        cut = F.substring(text, start + 1, F.element_at(part, -1)["stop"] - start)
+        return let(cut, lambda t: F.array_join(F.transform(part, lambda g: F.substring(t, g["start"] - start + 1, g["stop"] - g["start"])), mark))
+
+    n_blocks = F.ceil(F.size(gaps) / BLOCK).cast("int")
+    return F.array_join(F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda b: let(F.slice(gaps, b * BLOCK + 1, BLOCK), block)), mark)
+
+
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every secret replaced by ``mark``; overlapping spans become one. ``n_chars`` follows."""
-    rest = docs.columns
-    out = find_secrets(docs)
-    gaps = F.aggregate(
-        "__secrets", F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,stop:int>>").alias("kept")),
-        lambda a, s: F.struct(F.greatest(a["end"], s["end"]).alias("end"), F.when(
-            (s["start"] < a["end"]) & (a["end"] > 0), a["kept"]).otherwise(F.concat(a["kept"], F.array(F.struct(a["end"].alias("start"), s["start"].alias("stop"))))).alias("kept")))
-    out = staged(out, "__gaps", gaps)
-    text = F.concat(F.array_join(F.transform("__gaps.kept", lambda g: F.substring("text", g["start"] + 1, g["stop"] - g["start"])), mark),
-                    F.lit(mark), F.expr("substring(text, __gaps.end + 1)"))
-    out = out.withColumn("text", F.when(F.size("__secrets") > 0, text).otherwise(F.col("text")))
-    if "n_chars" in rest:
-        out = out.withColumn("n_chars", F.when(F.size("__secrets") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*rest)
+    out = find_secrets(docs.select("doc_id", "text", whole_row(docs.drop("text")).alias("rest")))
+    found = F.size("__secrets") > 0
+    # what lies before a span and after all earlier ones; a span that begins inside an earlier one has no gap
+    gaps = let(_reach(F.col("__secrets.end")), lambda reach: F.filter(
+        F.transform("__secrets", lambda s, i: F.struct(F.get(reach, i).alias("start"), s["start"].alias("stop"))), lambda g: g["start"] <= g["stop"]))
+    out = staged(out, "gaps", F.when(found, gaps))
+    tail = F.substring(F.col("text"), F.array_max("__secrets.end") + 1, F.length("text"))
+    out = staged(out, "masked", F.when(found, F.concat(_pieces(F.col("text"), F.col("gaps"), mark), F.lit(mark), tail)), ["text", "rest"])
+    made = {"text": F.coalesce("masked", "text")}
+    if "n_chars" in docs.columns:
+        made["n_chars"] = F.when(F.col("masked").isNotNull(), F.length("masked").cast("long")).otherwise(F.col("rest")["n_chars"])
+    return unpacked(out, "rest", docs, made)
