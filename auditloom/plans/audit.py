@@ -11,9 +11,11 @@ summaries of its own documents only, evaluates the rules for these alone, and wr
 * ``state``: their merge summaries, whole,
 * ``fields`` and ``verdicts``: held values, and rule verdicts with evidence and policy,
 * ``invoices`` and ``results``: their canonical rows, both derived from the written verdicts,
-* ``deltas``: signed counts, +1 for each cell of a new row and -1 for each of the row it replaces.
+* ``facts`` and ``cells``: what the review views say about each document, and what the dashboard counts of it,
+* ``deltas`` and ``dashboard``: signed counts, +1 for each cell of a new row and -1 for each of the row it replaces.
 
-Counting views are sums of deltas and never read documents again. Writing a batch anew replaces what it
+Counting views are sums of deltas and never read documents again. The other review views are read from the
+facts and canonical rows in force (``workbook``), so no view runs a rule. Writing a batch anew replaces what it
 wrote before and reads only earlier batches, so a repeated batch changes nothing. Batches count from 1
 and the folder must be one that all executors share.
 
@@ -25,6 +27,7 @@ writes empty tables.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +37,9 @@ from ..operators import evidence as E
 from ..operators import extraction as X
 from ..operators import merge_state as M
 from ..operators import rules as R
+from .. import schemas as S
 from . import canonical as C
+from . import views as V
 
 KEYS = ("doc_id", "field_name")
 PAYLOAD = ("value_text", "value_num", "source_page", "source_region")
@@ -128,14 +133,28 @@ def _cells(table: str, rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(F.array(*picked)).alias("_c")).select("_c.*")
 
 
+def _signed(new: DataFrame, old: DataFrame | None) -> DataFrame:
+    """Cells that came (+1) and went (-1), summed; zeros are left out."""
+    both = new.withColumn("sign", F.lit(1))
+    if old is not None:
+        both = both.unionByName(old.withColumn("sign", F.lit(-1)))
+    return both.groupBy("section", "metric", "value").agg(F.sum("sign").alias("delta")).where("delta <> 0")
+
+
 def signed_counts(new: dict[str, DataFrame], old: dict[str, DataFrame] | None) -> DataFrame:
     """(section, metric, value, delta): +1 for each cell that came, -1 for each that went; zeros are left out."""
-    parts = [_cells(name, rows).withColumn("sign", F.lit(1)) for name, rows in new.items()]
-    parts += [_cells(name, rows).withColumn("sign", F.lit(-1)) for name, rows in (old or {}).items()]
-    both = parts[0]
-    for part in parts[1:]:
-        both = both.unionByName(part)
-    return both.groupBy("section", "metric", "value").agg(F.sum("sign").alias("delta")).where("delta <> 0")
+
+    def all_cells(tables: dict[str, DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionByName, [_cells(name, rows) for name, rows in tables.items()])
+
+    return _signed(all_cells(new), all_cells(old) if old else None)
+
+
+def review_facts(tables: dict[str, DataFrame], fields: DataFrame, inputs: Inputs) -> DataFrame:
+    """Facts of the review views, a row per document."""
+    ids = tables["invoices"].select("run_id", "doc_id")
+    enriched = C.enrich_invoices(tables["invoices"].drop("doc_id"), inputs.runs, fields).join(ids, "run_id")
+    return V.invoice_facts(enriched, tables["results"], V.rule_labels(V.rule_sources(inputs.rules)))
 
 
 class AuditStore:
@@ -182,11 +201,31 @@ class AuditStore:
         tables = {name: self._write(name, batch, rows) for name, rows in canonical(fields, verdicts, inputs).items()}
         gone = {name: self.current(name, batch, docs) for name in self.CANONICAL} if batch > 1 else None
         deltas = self._write("deltas", batch, signed_counts(tables, gone))
-        return {**tables, "fields": fields, "verdicts": verdicts, "state": state, "deltas": deltas}
+        facts = self._write("facts", batch, review_facts(tables, fields, inputs))
+        cells = V.dashboard_cells(facts, tables["results"], V.rule_labels(V.rule_sources(inputs.rules)), ("doc_id",))
+        cells = self._write("cells", batch, cells)
+        went = self.current("cells", batch, docs).drop("doc_id") if batch > 1 else None
+        dashboard = self._write("dashboard", batch, _signed(cells.drop("doc_id"), went))
+        return {**tables, "fields": fields, "verdicts": verdicts, "state": state, "deltas": deltas, "facts": facts, "dashboard": dashboard}
 
     def counts(self) -> DataFrame:
         """Counting views as they stand: sums of signed deltas, one small row per cell and batch."""
-        return self.log("deltas").groupBy("section", "metric", "value").agg(F.sum("delta").alias("count")).where("count <> 0")
+        return self._summed("deltas")
+
+    def _summed(self, table: str) -> DataFrame:
+        return self.log(table).groupBy("section", "metric", "value").agg(F.sum("delta").alias("count")).where("count <> 0")
+
+    def dashboard(self) -> DataFrame:
+        """The dashboard from signed counts: no document, verdict or rule is read."""
+        return V.dashboard_table(self._summed("dashboard"))
+
+    def workbook(self, rules: DataFrame) -> dict[str, DataFrame]:
+        """All tables of the workbook from what is stored; observed rules come from the counts."""
+        seen = self.counts().where("section = 'Rule results' and metric <> ''").select(F.col("metric").alias("rule_id")).distinct()
+        tables = {name: self.current(name) for name in self.CANONICAL}
+        return V.workbook_tables(
+            tables["invoices"].select(*S.INVOICE_SUMMARY), tables["results"].select(*S.COMPLIANCE_RESULTS), self.current("facts"),
+            V.rule_sources(rules), self._summed("dashboard"), seen)
 
 
 def recount(tables: dict[str, DataFrame]) -> DataFrame:

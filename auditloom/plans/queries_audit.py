@@ -11,6 +11,7 @@ from . import audit as A
 from . import canonical as C
 from . import queries_evidence as QE
 from . import scenario
+from . import views as V
 from .registry import query
 
 
@@ -57,3 +58,25 @@ def audit_pipeline_batches(spark, sf_dir):
 def audit_counts(spark, sf_dir):
     """Counting views after two batches, from signed deltas alone."""
     return by_batches(spark, sf_dir).counts()
+
+
+@query("audit_dashboard")
+def audit_dashboard(spark, sf_dir):
+    """The dashboard after two batches, from signed counts alone."""
+    return by_batches(spark, sf_dir).dashboard()
+
+
+@query("audit_review_queue")
+def audit_review_queue(spark, sf_dir):
+    return V.review_queue(by_batches(spark, sf_dir).current("facts")).drop("policy_summary")
+
+
+@query("audit_review_issues")
+def audit_review_issues(spark, sf_dir):
+    return by_batches(spark, sf_dir).workbook(scenario.rules(spark))["Review Issues"].drop("policy_summary")
+
+
+@query("audit_matrix")
+def audit_matrix(spark, sf_dir):
+    wide = by_batches(spark, sf_dir).workbook(scenario.rules(spark))["Compliance Matrix"]
+    return wide.toDF(*[c.lower().replace(" - ", "_").replace(" ", "_") for c in wide.columns])

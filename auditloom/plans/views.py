@@ -390,8 +390,8 @@ def review_issues(facts: DataFrame, results: DataFrame, labels: DataFrame) -> Da
     return reduce(DataFrame.unionByName, picked)
 
 
-def dashboard(facts: DataFrame, results: DataFrame, labels: DataFrame) -> DataFrame:
-    """Six grouped counts and a legend."""
+def dashboard_cells(facts: DataFrame, results: DataFrame, labels: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """What the dashboard counts: (section, metric, value), a row for each finding, with ``keys`` of its document."""
     status = F.coalesce(F.nullif("review_status", F.lit("")), F.lit("unknown"))
     action = (
         F.when((F.size("contradiction_list") > 0) | status.isin("needs_review", "failed", "error"), "Blocked / needs review")
@@ -400,28 +400,38 @@ def dashboard(facts: DataFrame, results: DataFrame, labels: DataFrame) -> DataFr
     rows = labelled(results, labels)
 
     def section(df: DataFrame, name: str, metric: str, value: Column) -> DataFrame:
-        return df.select(F.lit(name).alias("section"), F.lit(metric).alias("metric"), value.alias("value"))
+        return df.select(*keys, F.lit(name).alias("section"), F.lit(metric).alias("metric"), value.alias("value"))
 
-    invoice_side = facts.select(F.explode(F.concat(
+    invoice_side = facts.select(*keys, F.explode(F.concat(
         F.array(F.struct(F.lit("Action summary").alias("section"), F.lit("Invoices").alias("metric"), action.alias("value")),
                 F.struct(F.lit("Invoice review").alias("section"), F.lit("Review status").alias("metric"), status.alias("value"))),
         F.transform("missing_list", lambda v: F.struct(
             F.lit("Missing critical fields").alias("section"), F.lit("Field").alias("metric"), v.alias("value"))),
         F.transform("contradiction_list", lambda v: F.struct(
             F.lit("Internal contradictions").alias("section"), F.lit("Finding").alias("metric"), v.alias("value"))),
-    )).alias("_s")).select("_s.*")
-    cells = reduce(DataFrame.unionByName, [
+    )).alias("_s")).select(*keys, "_s.*")
+    return reduce(DataFrame.unionByName, [
         invoice_side,
         section(rows, "Compliance status", "Rule results", F.col("st")),
         section(rows.filter(is_action(F.col("st"))), "Rules needing attention", "Rule", F.col("label")),
     ])
-    counted = cells.groupBy("section", "metric", "value").agg(F.count(F.lit(1)).cast("string").alias("count"))
-    legend = facts.sparkSession.createDataFrame(
+
+
+def dashboard_table(counted: DataFrame) -> DataFrame:
+    """Counted cells and the legend."""
+    counted = counted.select("section", "metric", "value", F.col("count").cast("string").alias("count"))
+    legend = counted.sparkSession.createDataFrame(
         [("Legend", "Status", "not_checked", ""), ("Legend", "Status", "not_applicable", ""),
          ("Legend", "Issue", "internal_contradiction", "")], "section string, metric string, value string, count string")
     return counted.unionByName(legend).select(*S.DASHBOARD)
 
 
+def dashboard(facts: DataFrame, results: DataFrame, labels: DataFrame) -> DataFrame:
+    """Six grouped counts and a legend."""
+    cells = dashboard_cells(facts, results, labels)
+    return dashboard_table(cells.groupBy("section", "metric", "value").agg(F.count(F.lit(1)).alias("count")))
+
+
 # -- per-rule views ------------------------------------------------------------
 
 def rule_guide_entries(results: DataFrame) -> DataFrame:
@@ -500,13 +510,16 @@ def compliance_matrix_long(invoices: DataFrame, results: DataFrame, labels: Data
     )
 
 
-def compliance_matrix(invoices: DataFrame, results: DataFrame, labels: DataFrame) -> DataFrame:
+def compliance_matrix(invoices: DataFrame, results: DataFrame, labels: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """Pivot with one column per visible rule label.
 
+    ``seen`` (rule_id) names the observed rules where the caller keeps them; else the results are read for them.
+
     Where rules share a label, a real verdict beats not_checked, which beats
     not_applicable; between verdicts the higher rule id wins.
     """
-    seen = results.select("rule_id").filter("rule_id <> ''").distinct()
+    if seen is None:
+        seen = results.select("rule_id").filter("rule_id <> ''").distinct()
     listed = bounded_rows(labels.join(seen, "rule_id", "left_semi").select("rule_id", "label", "invoice_type_id"))
     names = sorted({r["label"] for r in listed}, key=lambda n: (n.lower(), n))
     types = {n: sorted({r["invoice_type_id"] or "" for r in listed if r["label"] == n}) for n in names}
@@ -558,14 +571,22 @@ def workbook(runs: DataFrame, field_results: DataFrame, rule_results: DataFrame,
     results = C.canonical_compliance_results(runs, rule_results, field_results, evidence)
     invoices = C.enrich_invoices(summary, runs, field_results)
     sources = rule_sources(rules, results)
+    facts = invoice_facts(invoices, results, rule_labels(sources))
+    return workbook_tables(summary, results, facts, sources)
+
+
+def workbook_tables(
+    summary: DataFrame, results: DataFrame, facts: DataFrame, sources: DataFrame,
+    counted: DataFrame | None = None, seen: DataFrame | None = None,
+) -> dict[str, DataFrame]:
+    """All tables of the workbook from canonical rows and facts; dashboard counts and observed rules may be given."""
     labels = rule_labels(sources)
-    facts = invoice_facts(invoices, results, labels)
     return {
-        "Dashboard": dashboard(facts, results, labels),
+        "Dashboard": dashboard(facts, results, labels) if counted is None else dashboard_table(counted),
         "Review": review_queue(facts),
         "Review Issues": review_issues(facts, results, labels),
         "Invoice Summary": invoice_review_summary(facts),
-        "Compliance Matrix": compliance_matrix(invoices, results, labels),
+        "Compliance Matrix": compliance_matrix(summary, results, labels, seen),
         "Rule Guide": rule_guide(results, sources, labels),
         "Rule Guide Entries": rule_guide_entries(results).select(*S.RULE_GUIDE_ENTRIES),
         "Compliance Results": results,

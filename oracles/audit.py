@@ -3,9 +3,11 @@
 from auditloom.plans import scenario
 
 from .base import DOCS, FIELD_RESULTS, FIELDS, MEASURES, RULES, VERDICTS, WIDE, staged_number, with_
-from .canonical import _MSG, _SUM_COLS, INV, RUNS
+from .canonical import _MSG, _SUM_COLS, CANON, INV, RUNS
 from .extraction import _MERGE
 from .rules import ERR, EVAL, MERGED, PIVOT
+from .views import FACTS, LAB, VIEWS
+from .views import SQL as _VIEW_SQL
 
 _NAMES = "[" + ", ".join(f"'{f[1]}'" for f in scenario.FIELDS) + "]"
 _ATTEMPTS = f"""tries AS (SELECT r.doc_id, r.field_name, r.invoice_type_id, f.field_id, f.data_type, j AS seq,
@@ -43,6 +45,15 @@ cr AS (SELECT m.doc_id, run_id, invoice_id, invoice_file, source_type, source_id
   CASE WHEN m.status = 'failed' AND m.severity = 'warning' THEN 'warning' ELSE m.status END AS normalized_status, m.severity, m.message, coalesce(m.agent_notes, '') AS agent_notes,
   coalesce(CAST(f.source_page AS VARCHAR), '') AS source_page, coalesce('p' || f.source_page || ':' || f.source_region, '') AS evidence_refs
   FROM msg m JOIN runs u ON u.doc_id = m.doc_id LEFT JOIN field_results f ON f.doc_id = m.doc_id AND f.field_id = m.field_id)"""
+_REVIEWED = _RESULTS.replace(" AS evidence_refs\n", " AS evidence_refs, '' AS policy_refs\n", 1)
+
+
+def _over_chain(name: str, given: tuple[str, ...], own: tuple[str, ...], columns: str = "*") -> str:
+    """SQL of a view over the chain's canonical rows instead of those it is written for."""
+    body = _VIEW_SQL[name].removeprefix(with_(*given))
+    return with_(*_CHAIN, _REVIEWED, *own) + f"SELECT {columns} FROM ({body})"
+
+
 _INVOICES = with_(*_CHAIN) + f"SELECT {_SUM_COLS} FROM inv"
 
 SQL = {
@@ -53,4 +64,8 @@ SQL = {
 cells AS (SELECT 'Invoice review' AS section, 'Review status' AS metric, review_status AS value FROM inv UNION ALL SELECT 'Run status', 'Agent status', agent_status FROM inv
   UNION ALL SELECT 'Documents', invoice_type_id, review_status FROM inv UNION ALL SELECT 'Compliance status', 'Rule results', ns FROM nr UNION ALL SELECT 'Rule results', rule_id, ns FROM nr)""")
     + "SELECT section, metric, value, count(*) AS count FROM cells GROUP BY ALL",
+    "audit_dashboard": _over_chain("dashboard", VIEWS, (LAB, FACTS)),
+    "audit_review_queue": _over_chain("review_queue", VIEWS, (LAB, FACTS), "* EXCLUDE (policy_summary)"),
+    "audit_review_issues": _over_chain("review_issues", VIEWS, (LAB, FACTS), "* EXCLUDE (policy_summary)"),
+    "audit_matrix": _over_chain("compliance_matrix", CANON, ()),
 }

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from auditloom import schemas as S
 from auditloom.plans import audit as A
 from auditloom.plans import queries_audit, scenario
+from auditloom.plans import views as V
 
 
 @pytest.fixture(scope="module")
@@ -39,6 +40,17 @@ def test_batches_equal_one_run_and_touch_only_their_documents(spark, given, atte
         assert rows(store.current("results"), S.COMPLIANCE_RESULTS) == rows(whole["results"], S.COMPLIANCE_RESULTS)
         assert wrote["state"].where("doc_id % 3 <> 0").isEmpty() and wrote["results"].where("doc_id % 3 <> 0").isEmpty()
         assert {tuple(r) for r in store.counts().collect()} == {tuple(r) for r in A.recount(whole).collect()}
+    book = store.workbook(given.rules)
+    assert list(book) and set(book) == {n for n, _ in S.WORKBOOK_TABLES}
+    # the facts again, from whole tables and without the store
+    fields, _ = A.checked(A.summaries(attempts, given), given)
+    facts = A.review_facts(whole, fields, given).cache()
+    again = V.workbook_tables(
+        whole["invoices"].select(*S.INVOICE_SUMMARY), whole["results"].select(*S.COMPLIANCE_RESULTS), facts, V.rule_sources(given.rules))
+    for name, table in again.items():
+        assert book[name].columns == table.columns and rows(book[name], table.columns) == rows(table, table.columns), name
+    assert rows(store.dashboard(), S.DASHBOARD) == rows(again["Dashboard"], S.DASHBOARD)
+    assert "/dashboard/" in str(store.dashboard().inputFiles()) and "/facts/" not in str(store.dashboard().inputFiles())
 
 
 def test_typed_values_reach_the_tables(whole):
