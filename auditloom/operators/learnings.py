@@ -57,19 +57,21 @@ def _width(text: Column) -> Column:
     return F.when(n >= 31, 16).when(n >= 7, 4).otherwise(1)
 
 
-def contained_in(new: DataFrame, existing: DataFrame, new_id: str = "new_id") -> DataFrame:
+def contained_in(new: DataFrame, existing: DataFrame, new_id: str = "new_id", earlier: str | None = None) -> DataFrame:
     """Ids of new texts that occur inside some existing text (both lower-cased).
 
     Existing texts are cut into blocks at fixed positions.  Whatever the
     alignment, a contained text of sufficient length covers whole blocks, so for
     each of its few alignments the rarest of those blocks is looked up and only
     those candidates are compared.  An alignment with an unseen block is
-    impossible and drops out.
+    impossible and drops out.  With ``earlier``, a column of the existing texts,
+    only those count whose value lies below the new text's id.
     """
-    texts = existing.select(F.lower("content").alias("_t")).distinct()
-    cut = texts.select("_t", F.explode(F.array(*[
+    since = F.min(earlier) if earlier else F.lit(None).cast("bigint")
+    texts = existing.groupBy(F.lower("content").alias("_t")).agg(since.alias("_since"))
+    cut = texts.select("_t", "_since", F.explode(F.array(*[
         F.struct(F.lit(w).alias("_w"), F.array_distinct(F.regexp_extract_all("_t", F.lit(f"(?s).{{{w}}}"), F.lit(0))).alias("_bs"))
-        for w in (16, 4, 1)])).alias("_c")).select("_t", F.col("_c._w").alias("_w"), F.explode("_c._bs").alias("_b"))
+        for w in (16, 4, 1)])).alias("_c")).select("_t", "_since", F.col("_c._w").alias("_w"), F.explode("_c._bs").alias("_b"))
     wanted = new.select(F.col(new_id), F.lower(squeeze(F.col("content"))).alias("_n")).filter("_n <> ''").withColumn("_w", _width(F.col("_n")))
     aligned = wanted.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_w") - 1)))
     blocks = aligned.select(new_id, "_n", "_w", "_o", F.explode(F.transform(
@@ -83,25 +85,28 @@ def contained_in(new: DataFrame, existing: DataFrame, new_id: str = "new_id") ->
         F.min_by("_b", F.coalesce("_df", F.lit(0))).alias("_b"), F.min(F.coalesce("_df", F.lit(0))).alias("_df")
     ).filter(F.col("_df") > 0)
     probes = rarest.join(wanted.select(new_id, "_n"), new_id)
-    hits = probes.alias("p").join(
-        seen.alias("s"), (F.col("p._w") == F.col("s._w")) & (F.col("p._b") == F.col("s._b")) & F.col("s._t").contains(F.col("p._n")), "left_semi")
+    same = (F.col("p._w") == F.col("s._w")) & (F.col("p._b") == F.col("s._b")) & F.col("s._t").contains(F.col("p._n"))
+    if earlier:
+        same = same & (F.col("s._since") < F.col(f"p.{new_id}"))
+    hits = probes.alias("p").join(seen.alias("s"), same, "left_semi")
     return hits.select(new_id).distinct()
 
 
 def insert_learnings(learnings: DataFrame, new: DataFrame, entry_date: str, new_id: str = "new_id") -> DataFrame:
-    """New notes with ids after the largest one; repeated content is skipped.
+    """New notes with ids after the largest one; content that is already said is skipped.
 
-    ``new`` carries an integer ``new_id`` giving the order of insertion.
+    ``new`` carries an integer ``new_id`` giving the order of insertion.  A note
+    is skipped if an existing note or an earlier one of ``new`` contains it.  What
+    contains a skipped note's text contains all of it, so skipped ones may count.
     """
-    fresh = new.join(contained_in(new, learnings, new_id), new_id, "left_anti").filter(squeeze(F.col("content")) != "")
-    folded = F.lower(squeeze(F.col("content")))
-    first = fresh.withColumn("_key", folded).groupBy("_key").agg(F.min(new_id).alias(new_id))
-    fresh = fresh.join(first.select(new_id), new_id, "left_semi")
-    top = learnings.agg(F.coalesce(F.max("learning_id"), F.lit(0)).alias("m")).first()["m"]
+    new = new.withColumn("content", squeeze(F.col("content")))
+    fresh = new.join(contained_in(new, learnings, new_id), new_id, "left_anti").filter(F.col("content") != "")
+    fresh = fresh.join(contained_in(fresh, fresh, new_id, earlier=new_id), new_id, "left_anti")
+    top = learnings.agg(F.coalesce(F.max("learning_id"), F.lit(0))).scalar()
     rows = running(fresh, [], new_id, [Prefix("_rank", "sum", F.lit(1))])
     return rows.select(
-        (F.lit(top) + F.col("_rank")).cast("int").alias("learning_id"), "invoice_type_id", "category",
-        F.lit(entry_date).alias("entry_date"), F.lit(None).cast("string").alias("edited_date"), squeeze(F.col("content")).alias("content"),
+        (top + F.col("_rank")).cast("int").alias("learning_id"), "invoice_type_id", "category",
+        F.lit(entry_date).alias("entry_date"), F.lit(None).cast("string").alias("edited_date"), "content",
     )
 
 

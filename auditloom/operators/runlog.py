@@ -38,6 +38,8 @@ REQUIRED_PARAMS = {
     "extract_fields_vision": "page_num", "check_compliance_visual": "page_num", "crop_region": "region",
     "install_package": "package", "note": "text",
 }
+# A crop names its page or its image.
+CROP_TOOL, CROP_SOURCES = "crop_region", ("page_num", "image_path")
 EXEMPT_TOOL = "check_compliance"
 WARN_REPEATS, STOP_REPEATS = 2, 5
 MAX_FAILURES = 3
@@ -93,6 +95,8 @@ def validate_actions(log: DataFrame) -> DataFrame:
         .when(mine.isNull(), F.concat(F.lit("Unknown tool '"), "tool", F.lit("'.")))
         .when(F.json_object_keys("params").isNull(), "params must be a JSON object.")
         .when(F.size(extra) > 0, F.concat(tool, F.lit(" has invalid params: "), shown(extra), F.lit(". Allowed: "), shown(mine)))
+        .when((F.col("tool") == CROP_TOOL) & ~F.arrays_overlap(given, F.array(*[F.lit(p) for p in CROP_SOURCES])),
+              F.concat(tool, F.lit(" requires either "), F.lit(" or ".join(f"'{p}'" for p in CROP_SOURCES)), F.lit(".")))
         .when(must.isNotNull() & ~F.array_contains(given, must), F.concat(tool, F.lit(" requires '"), must, F.lit("'.")))
     )
     return log.withColumn("contract_error", error)

@@ -4,7 +4,9 @@
 chunks of the order column; each chunk is aggregated on the map side, the small
 chunk table carries prefixes from chunk to chunk, and the rows themselves are
 only windowed inside their own chunk.  A run or document holding a third of all
-rows is therefore spread over as many tasks as it has chunks.
+rows is therefore spread over as many tasks as it has chunks.  Without keys the
+chunk table itself is cut into spans in the same way, so the one window that has
+no partition sees a row per ``CHUNK_SPAN`` chunks.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK_ROWS = 65_536
+CHUNK_SPAN = 4_096
 SMALL_SIDE_ROWS = 50_000
 
 
@@ -40,12 +43,40 @@ def _pick(how: str, left: Column, right: Column) -> Column:
     return F.greatest(left, right) if how == "max" else F.least(left, right)
 
 
+_WHOLE = {"sum": F.sum, "max": F.max, "min": F.min, "xor": F.bit_xor}
+
+
+def _total(how: str, value: Column, order: str) -> Column:
+    """A chunk's or span's own contribution."""
+    return F.max_by(value, F.when(value.isNotNull(), F.col(order))) if how == "last" else _WHOLE[how](value)
+
+
+def _over(how: str, value: Column, window) -> Column:
+    return F.last(value, ignorenulls=True).over(window) if how == "last" else _WHOLE[how](value).over(window)
+
+
+def _carried(chunks: DataFrame, keys: Sequence[str], hows: Sequence[str], span: int) -> DataFrame:
+    """(keys, _chunk, _c0, ..): what lies before each chunk, from the chunk totals _t0, .."""
+    ahead = (Window.unboundedPreceding, -1)
+    if keys:
+        before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(*ahead)
+        return chunks.select(*keys, "_chunk", *[_over(h, F.col(f"_t{i}"), before).alias(f"_c{i}") for i, h in enumerate(hows)])
+    spans = chunks.withColumn("_span", F.expr(f"_chunk div {int(span)}"))
+    tops = spans.groupBy("_span").agg(*[_total(h, F.col(f"_t{i}"), "_chunk").alias(f"_s{i}") for i, h in enumerate(hows)])
+    first = Window.orderBy("_span").rowsBetween(*ahead)
+    tops = tops.select("_span", *[_over(h, F.col(f"_s{i}"), first).alias(f"_u{i}") for i, h in enumerate(hows)])
+    inside = Window.partitionBy("_span").orderBy("_chunk").rowsBetween(*ahead)
+    return spans.join(tops, "_span").select(
+        "_chunk", *[_pick(h, F.col(f"_u{i}"), _over(h, F.col(f"_t{i}"), inside)).alias(f"_c{i}") for i, h in enumerate(hows)])
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
     order: str,
     prefixes: Sequence[Prefix],
     chunk_rows: int = CHUNK_ROWS,
+    chunk_span: int = CHUNK_SPAN,
 ) -> DataFrame:
     """Add prefix aggregates per key in the order of an integer column.
 
@@ -56,23 +87,9 @@ def running(
     for i, p in enumerate(prefixes):
         staged = staged.withColumn(f"_v{i}", p.value)
 
-    whole = {"sum": F.sum, "max": F.max, "min": F.min, "xor": F.bit_xor}
-    totals = []
-    for i, p in enumerate(prefixes):
-        v = F.col(f"_v{i}")
-        if p.how == "last":
-            totals.append(F.max_by(v, F.when(v.isNotNull(), F.col(order))).alias(f"_t{i}"))
-        else:
-            totals.append(whole[p.how](v).alias(f"_t{i}"))
-    chunks = staged.groupBy(*keys, "_chunk").agg(*totals)
-
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = []
-    for i, p in enumerate(prefixes):
-        t = F.col(f"_t{i}")
-        over = F.last(t, ignorenulls=True) if p.how == "last" else whole[p.how](t)
-        carried.append(over.over(before).alias(f"_c{i}"))
-    carry = chunks.select(*keys, "_chunk", *carried)
+    hows = [p.how for p in prefixes]
+    chunks = staged.groupBy(*keys, "_chunk").agg(*[_total(h, F.col(f"_v{i}"), order).alias(f"_t{i}") for i, h in enumerate(hows)])
+    carry = _carried(chunks, keys, hows, chunk_span)
 
     local = Window.partitionBy(*keys, "_chunk").orderBy(order)
     upto = {True: local.rowsBetween(Window.unboundedPreceding, 0),
@@ -80,9 +97,7 @@ def running(
     out = staged.join(carry, [*keys, "_chunk"])
     results = []
     for i, p in enumerate(prefixes):
-        v = F.col(f"_v{i}")
-        over = F.last(v, ignorenulls=True) if p.how == "last" else whole[p.how](v)
-        results.append(_pick(p.how, F.col(f"_c{i}"), over.over(upto[p.inclusive])).alias(p.name))
+        results.append(_pick(p.how, F.col(f"_c{i}"), _over(p.how, F.col(f"_v{i}"), upto[p.inclusive])).alias(p.name))
     return out.select(*[F.col(f"`{c}`") for c in df.columns], *results)
 
 

@@ -17,7 +17,7 @@ SQL = {
 md5(CASE WHEN i % 9 = 2 THEN trim('plain ' || t) ELSE t END) AS content FROM md1 WHERE i % 9 = 2 OR i % 9 >= 4""",
     "read_learnings": with_(STORE) + "SELECT learning_id, invoice_type_id, category FROM st WHERE invoice_type_id IN ('GENERAL', 'VIAJES')",
     "contained_learnings": with_(NEW) + "SELECT new_id FROM cn",
-    "insert_learnings": with_(NEW, "fr AS (SELECT * FROM nw WHERE new_id NOT IN (SELECT new_id FROM cn) QUALIFY row_number() OVER (PARTITION BY lower(content) ORDER BY new_id) = 1)",
+    "insert_learnings": with_(NEW, "fr AS (SELECT * FROM nw WHERE new_id NOT IN (SELECT new_id FROM cn) AND NOT EXISTS (SELECT 1 FROM nw o WHERE o.new_id < nw.new_id AND contains(lower(o.content), lower(nw.content))))",
                               "nu AS (SELECT content, CAST((SELECT max(doc_id) FROM documents) + row_number() OVER (ORDER BY new_id) AS INTEGER) AS learning_id FROM fr)")
     + f"SELECT learning_id, {fmt('learning_id')} AS label, '2024-05-05' AS entry_date, md5(content) AS digest FROM nu",
     "edit_learnings": with_(STORE) + "SELECT learning_id, '2024-01-01' AS entry_date, CASE WHEN learning_id % 4 = 1 AND learning_id IN (SELECT item_id FROM benchmark) THEN '2024-06-06' END AS edited_date, md5(CASE WHEN learning_id % 4 = 1 AND learning_id IN (SELECT item_id FROM benchmark) THEN 'new ' || learning_id ELSE content END) AS digest FROM st",

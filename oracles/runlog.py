@@ -26,7 +26,7 @@ SQL = {
     "canonical_params": with_(*BASE) + "SELECT seq, nullif(page, '') AS page, fields, CASE page WHEN '2, 3' THEN 2 ELSE 1 END AS page_no FROM lg",
     "validate_actions": with_(*BASE) + """SELECT seq, CASE WHEN tool = 'extract_fields_vision' THEN CASE k % 4 WHEN 0 THEN NULL WHEN 3 THEN 'Tool ''extract_fields_vision'' requires ''page_num''.'
   ELSE 'Tool ''extract_fields_vision'' has invalid params: [''' || CASE k % 4 WHEN 1 THEN 'page' ELSE 'page_index' END || ''']. Allowed: [''field_names'', ''field_subset'', ''fields'', ''hints'', ''page_num'', ''region'']' END
-WHEN tool = 'crop_region' THEN CASE k % 4 WHEN 0 THEN 'Tool ''crop_region'' requires ''region''.' WHEN 3 THEN 'Tool ''crop_region'' requires ''region''.' WHEN 1 THEN 'Tool ''crop_region'' has invalid params: [''page'']. Allowed: [''custom_bbox'', ''image_path'', ''page_num'', ''region'']'
+WHEN tool = 'crop_region' THEN CASE k % 4 WHEN 0 THEN 'Tool ''crop_region'' requires ''region''.' WHEN 3 THEN 'Tool ''crop_region'' requires either ''page_num'' or ''image_path''.' WHEN 1 THEN 'Tool ''crop_region'' has invalid params: [''page'']. Allowed: [''custom_bbox'', ''image_path'', ''page_num'', ''region'']'
   ELSE 'Tool ''crop_region'' has invalid params: [''fields'', ''page_index'']. Allowed: [''custom_bbox'', ''image_path'', ''page_num'', ''region'']' END
 WHEN tool = 'note' THEN CASE k % 4 WHEN 3 THEN 'Tool ''note'' requires ''text''.' ELSE 'Tool ''note'' has invalid params: [' || CASE k % 4 WHEN 0 THEN '''page_num''' WHEN 1 THEN '''page''' ELSE '''fields'', ''page_index''' END || ']. Allowed: [''text'']' END
 ELSE CASE k % 4 WHEN 3 THEN NULL ELSE 'Tool ''' || tool || ''' has invalid params: [' || CASE k % 4 WHEN 0 THEN '''page_num''' WHEN 1 THEN '''page''' ELSE '''fields'', ''page_index''' END || ']. Allowed: []' END END AS contract_error FROM lg""",

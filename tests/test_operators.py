@@ -151,3 +151,41 @@ def test_folder_and_config_sources(spark, tmp_path):
     cfg = config.load_config(spark, str(tmp_path))
     assert cfg["fields"].first().aliases == ["x", "y"] and cfg["fields"].count() == 1
     assert cfg["rules"].first().rule_group == "general" and cfg["allowed_values"].count() == 0
+
+
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_running_equals_one_window_at_any_chunk_and_span(spark, keys):
+    rnd = random.Random(7)
+    rows = [(i * 3 + rnd.randrange(3), rnd.randrange(3), rnd.choice([None, *range(-9, 9)])) for i in range(400)]
+    df = spark.createDataFrame(rows, "at bigint, k int, v bigint").repartition(5)
+    hows = {"sum": F.sum, "max": F.max, "min": F.min, "xor": F.bit_xor, "last": lambda c: F.last(c, ignorenulls=True)}
+    window = Window.partitionBy(*keys).orderBy("at")
+    ends = {True: window.rowsBetween(Window.unboundedPreceding, 0), False: window.rowsBetween(Window.unboundedPreceding, -1)}
+    want = df.select("*", *[f(F.col("v")).over(ends[e]).alias(f"{h}_{e}") for h, f in hows.items() for e in ends])
+    found = running(df, keys, "at", [Prefix(f"{h}_{e}", h, F.col("v"), e) for h in hows for e in ends], chunk_rows=10, chunk_span=4)
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+    if not keys:
+        assert running(df.limit(0), [], "at", [Prefix("n", "sum", F.lit(1))]).collect() == []
+
+
+def test_notes_inside_earlier_notes_of_the_batch_are_skipped(spark):
+    held = spark.createDataFrame([(7, "An old remark about totals")], "learning_id int, content string")
+    notes = ["Check the vendor name twice", "vendor NAME", "Check the vendor name twice and sign", "old remark", "check the vendor name twice", "  ", None, "x"]
+    new = spark.createDataFrame([(i, n, "GENERAL", "approaches") for i, n in enumerate(notes)], "new_id bigint, content string, invoice_type_id string, category string")
+    want, said = [], ["an old remark about totals"]
+    for n in notes:
+        text = (n or "").strip()
+        if text and not any(text.lower() in s for s in said):
+            want.append(text)
+            said.append(text.lower())
+    got = N.insert_learnings(held, new, "2024-01-01").orderBy("learning_id").collect()
+    assert [(r["learning_id"], r["content"]) for r in got] == [(8 + i, t) for i, t in enumerate(want)]
+
+
+def test_a_crop_names_its_page_or_its_image(spark):
+    cases = [("{}", "either"), ('{"region": "top"}', "either"), ('{"page_num": 1}', "'region'"), ('{"image_path": "a"}', "'region'"),
+             ('{"image_path": "a", "region": "top"}', None)]
+    log = spark.createDataFrame([(i, "crop_region", p, "why") for i, (p, _) in enumerate(cases)], "seq int, tool string, params string, reasoning string")
+    for r in G.validate_actions(log).collect():
+        said = cases[r["seq"]][1]
+        assert (r["contract_error"] is None) if said is None else said in r["contract_error"]
