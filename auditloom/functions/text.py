@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -162,6 +166,30 @@ def parse_payment_phrase(observation: Column) -> Column:
     return squeeze(found)
 
 
+@cache
+def _decompositions() -> tuple[str, str]:
+    """Letters with marks and their bare letters in the same order, then all marks, which have none."""
+    letters, bare, marks = [], [], []
+    for c in map(chr, range(0x80, sys.maxunicode + 1)):
+        if unicodedata.category(c) == "Mn":
+            marks.append(c)
+        elif decomposed := unicodedata.normalize("NFD", c):
+            rest = "".join(x for x in decomposed if unicodedata.category(x) != "Mn")
+            if len(rest) == 1 and rest != c:
+                letters.append(c)
+                bare.append(rest)
+    return "".join(letters + marks), "".join(bare)
+
+
+def fold_any_script(text: Column) -> Column:
+    """Lower case without combining marks, for any script; null stays null.
+
+    The canonical decompositions to one letter are a map applied inside the JVM. Characters of several
+    letters (Hangul syllables, two-part vowel signs) stay composed.
+    """
+    return F.translate(F.lower(text), *_decompositions())
+
+
 def fold_accents(text: Column) -> Column:
     """Lower case without accents, for Latin-script text."""
     return F.translate(F.lower(text), _ACCENTED, _PLAIN)

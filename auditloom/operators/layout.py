@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.blanks import squeeze
-from ..functions.text import fold_accents
+from ..functions.text import fold_any_script
 
 # Label coverage, reading thresholds, paddings, reach below a label.
 MIN_TERM_CHARS = 3
@@ -25,7 +25,7 @@ def search_terms(fields: DataFrame) -> DataFrame:
     words = F.array_union(F.array("field_label"), F.coalesce("aliases", F.array().cast("array<string>")))
     terms = fields.select("invoice_type_id", "field_name", F.explode(words).alias("_w"))
     return terms.filter(F.length(F.trim("_w")) >= MIN_TERM_CHARS).select(
-        "invoice_type_id", "field_name", fold_accents(F.col("_w")).alias("term")
+        "invoice_type_id", "field_name", fold_any_script(F.col("_w")).alias("term")
     )
 
 
@@ -35,7 +35,7 @@ def localize_labels(lines: DataFrame, fields: DataFrame) -> DataFrame:
     Terms are configuration, so every line meets only the terms of its type; the
     best line is a map-side combinable maximum.
     """
-    folded = lines.filter(F.trim("text") != "").withColumn("_norm", fold_accents(F.col("text")))
+    folded = lines.filter(F.trim("text") != "").withColumn("_norm", fold_any_script(F.col("text")))
     hits = folded.join(search_terms(fields), "invoice_type_id").filter(F.col("_norm").contains(F.col("term")))
     score = F.length("term") / F.greatest(F.length("_norm"), F.lit(1))
     line = F.struct("line_no", "text", "confidence", "x1", "y1", "x2", "y2", "image_width", "image_height")

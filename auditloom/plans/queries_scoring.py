@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.blanks import normalize_text
-from ..functions.fuzzy import fold_any_script
+from ..functions.text import fold_any_script
 from ..operators import scoring as P
 from ..sources import truth as T
 from . import queries_rules as Q

@@ -46,6 +46,7 @@ def _by_name(only: str = "true") -> str:
 
 _BY_SOURCE = "bs AS (SELECT doc_id, min(line_no) AS line_no FROM nd JOIN tf ON nd.source_id = tf.source_id AND (tf.revision_id IS NULL OR tf.revision_id = nd.revision_id) GROUP BY doc_id)"
 SQL = {
+    "fold_any_script": "SELECT conv_id, turn, md5(strip_accents(lower(text))) AS digest FROM conversations",
     "truth_unpivot": with_(*FR[:3], TRUTH) + "SELECT doc_id, field_name, truth_value FROM truth",
     "truth_schema_filter": with_(FIELDS, *FR[:3], TRUTH) + "SELECT field_name, count(*) AS rows FROM truth t WHERE EXISTS (SELECT 1 FROM fields f WHERE f.invoice_type_id = t.invoice_type_id AND f.field_name = t.field_name) GROUP BY 1",
     "compare_value": with_(*COMPARED) + "SELECT doc_id, field_name, match, partial, note FROM cm",

@@ -1,3 +1,6 @@
+import random
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,3 +50,19 @@ def test_names_and_keys(spark):
 def test_close_match(spark):
     df = spark.createDataFrame([("hotel arts barcelona", "hotel artes barcelona"), ("abcd", "wxyz"), (None, "x")], "a string, b string")
     assert [r[0] for r in df.select(close_match("a", "b")).collect()] == [True, False, None]
+
+
+def test_folding_equals_the_decomposition_in_any_script(spark):
+    def plain(value):
+        return "".join(c for c in unicodedata.normalize("NFD", value) if unicodedata.category(c) != "Mn")
+
+    rnd = random.Random(5)
+    ranges = ((0x20, 0x250), (0x300, 0x530), (0x590, 0x700), (0x900, 0x980), (0x1E00, 0x2000), (0x3040, 0x3100), (0xF900, 0xFAFF))
+    chars = [chr(c) for a, b in ranges for c in range(a, b) if unicodedata.category(chr(c)) not in ("Cn", "Cs", "Lu", "Lt")]
+    chars = [c for c in chars if len(plain(c)) <= 1]
+    texts = ["".join(rnd.choice(chars) for _ in range(60)) for _ in range(300)] + ["", "Ŵêłçömé ñandú ÅÇ Ёлка ή", "한국어 å̧", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, v string").select("i", text.fold_any_script(F.col("v")).alias("v")).collect()
+    got = {r["i"]: r["v"] for r in rows}
+    for i, t in enumerate(texts[:301]):
+        assert got[i] == plain(t), t
+    assert got[301] == "wełcome nandu ac елка η" and got[302] == "한국어 a" and got[303] is None
