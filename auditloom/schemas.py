@@ -102,4 +102,4 @@ def require_keys(df: DataFrame, keys: Iterable[str], label: str) -> None:
     """Fail fast when a table lacks a column."""
     absent = [k for k in keys if k not in df.columns]
     if absent:
-        raise ValueError(f"{label} missing required key: {', '.join(absent)}")
+        raise ValueError(f"{label}: missing required key(s) {', '.join(absent)}; columns are {df.columns}")

@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -189,3 +190,51 @@ def test_a_crop_names_its_page_or_its_image(spark):
     for r in G.validate_actions(log).collect():
         said = cases[r["seq"]][1]
         assert (r["contract_error"] is None) if said is None else said in r["contract_error"]
+
+
+def test_header_faults_name_each_column():
+    assert workbook_dir.header_faults("Dashboard", list(S.DASHBOARD)) == []
+    assert len(workbook_dir.header_faults("Dashboard", [*S.DASHBOARD, "more"])) == 1
+    assert workbook_dir.header_faults("Compliance Matrix", [*S.MATRIX_KEYS, "Label"]) == []
+    assert len(workbook_dir.header_faults("Compliance Matrix", ["a", "R_X"])) == len(S.MATRIX_KEYS) + 1
+
+
+def test_truth_csv_is_read_by_column_name(spark, tmp_path):
+    from auditloom.sources import truth
+
+    folder = tmp_path / "truth"
+    folder.mkdir()
+    (folder / "a.csv").write_text('Total,Source file,Notes,Extra\n"1,5",doc one.pdf,"two\nlines, ""quoted""",x\n,doc two.pdf,,\n')
+    schema = "`Source file` string, Notes string, Total string, Date string"
+    rows = truth.scan_truth_csv(spark, str(folder), schema).orderBy("Source file").collect()
+    assert [tuple(r) for r in rows] == [("doc one.pdf", 'two\nlines, "quoted"', "1,5", None), ("doc two.pdf", None, None, None)]
+    with pytest.raises(ValueError, match="no source column"):
+        truth.scan_truth_csv(spark, str(folder), schema, "File")
+    assert truth.scan_truth_csv(spark, str(folder), schema, "File", "Extra").count() == 2
+    long = truth.truth_unpivot(truth.scan_truth_csv(spark, str(folder), schema), {"Total": "total_amount", "Notes": "notes"}, ("Source file",))
+    assert sorted(r["field_name"] for r in long.collect()) == ["notes", "total_amount"]
+
+
+def test_run_log_lines_feed_the_guards(spark, tmp_path):
+    lines = [{"run_id": "r", "turn": i, "ts": "2024-05-05T00:00:00Z", "tool": "note", "params": '{"text": "a"}', "reasoning": "why", "result": "{}", "elapsed_ms": 5}
+             for i in range(4)]
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    (folder / "agent_log_1.jsonl").write_text("\n".join(map(json.dumps, lines)) + "\n")
+    log = G.scan_run_log(spark, str(folder))
+    assert log.count() == 4 and log.schema["ts"].dataType.simpleString() == "timestamp"
+    checked = G.validate_actions(log).collect()
+    assert all(r["contract_error"] is None for r in checked)
+    streaks = G.duplicate_action_streak(log.withColumn("seq", F.col("turn").cast("bigint"))).orderBy("seq").collect()
+    assert streaks[-1]["streak"] > streaks[0]["streak"]
+    assert G.scan_run_log(spark, str(folder), streaming=True).isStreaming
+
+
+def test_run_summaries_accumulate(spark, tmp_path):
+    summary = spark.createDataFrame([tuple(str(i) for _ in S.INVOICE_SUMMARY) for i in range(3)], list(S.INVOICE_SUMMARY))
+    rows = C.run_summary(summary, F.lit("20240101_000000"))
+    path = str(tmp_path / "summary")
+    for _ in range(2):
+        sinks.append_run_summary(rows, path)
+    back = spark.read.parquet(path)
+    assert back.columns == list(S.RUN_SUMMARY) and back.count() == 6
