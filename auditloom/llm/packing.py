@@ -2,10 +2,11 @@
 
 Documents are tokenized in tasks; only texts longer than a sequence are cut. What the driver sees is the
 histogram of piece lengths (at most one count per possible length). A configuration is a multiset of
-lengths that fits in one sequence. Multiplicative weights price the lengths (a length that lags behind
-in coverage gets dearer), a knapsack over the prices finds the best filling of every remaining capacity,
-and each configuration is taken as often as what is left of its lengths allows, so the solution is
-integral at every step. What the rounds leave is packed by best fit, in counts.
+lengths that fits in one sequence. The linear program over configurations (least total, every length
+covered) is solved by multiplicative weights: prices start at the best of some dual feasible functions and
+move with the share of each length that a round covers, a knapsack over the prices finds the best filling of
+every remaining capacity, and the rounds' answers add up to fractional counts. These are rounded down, what
+that leaves is solved again, and the last fractions are packed by best fit, in counts.
 
 The plan is a list of slots: of length L, the pieces ranked r0 to r1 go to sequences b to b + r1 - r0 at
 a fixed offset. Ranks of pieces within a length are distributed prefix sums over hash buckets, so a
@@ -33,9 +34,16 @@ from .tokens import segment_encoder
 CAPACITY = 2048
 #: Pieces of one hash bucket, about.
 BUCKET_ROWS = 50_000
-#: Rounds of pricing and the strength of the weights.
-ROUNDS = 60
-STRENGTH = 0.5
+#: The linear program: rounds of pricing and how many of them only settle prices; the first step of the weights, and the
+#: round by which it has halved; how far an answer may lie below the best one, narrowing alike; then how often the program is solved
+#: again, and the share of the volume that a rounding has to take for that.
+ROUNDS = 40
+WARM_UP = 20
+STRENGTH = 0.1
+SETTLE = 8
+SLACK = 0.01
+PASSES = 4
+TAKEN_SHARE = 0.1
 SLICE_ROWS = 256
 
 
@@ -69,63 +77,112 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text")).mapInArrow(run, schema)
 
 
-def _fillings(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:
-    """For each capacity the length that the best filling takes last (0: a token of it stays free)."""
-    value, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+def _fillings(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Knapsack by capacity: worth of the best filling, the length it takes last, and the capacity it really uses."""
+    value, last, used = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64), np.zeros(capacity + 1, np.int64)
+    fits = np.searchsorted(lengths, np.arange(capacity + 1), "right")
     for c in range(1, capacity + 1):
-        m = np.searchsorted(lengths, c, "right")
-        value[c] = value[c - 1]
+        value[c], used[c] = value[c - 1], used[c - 1]
+        m = fits[c]
         if m:
             with_last = value[c - lengths[:m]] + prices[:m]
             k = int(with_last.argmax())
             if with_last[k] > value[c]:
-                value[c], last[c] = with_last[k], lengths[k]
-    return last
+                value[c], last[c], used[c] = with_last[k], lengths[k], c
+    return value, last, used
+
+
+def first_prices(counts: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
+    """Prices by length at which no configuration is worth more than 1: the best known family member for ``counts``.
+
+    Members: the share of a sequence; pieces beyond a threshold of room count whole and those below the threshold
+    nothing; whole multiples of a unit fraction. Their total worth is a lower bound of any packing.
+    """
+    size = np.arange(capacity + 1)
+    family = [size / capacity]
+    for small in np.nonzero(counts[:capacity // 2 + 1])[0]:
+        family.append(np.where(size > capacity - small, 1.0, np.where(size >= small, size / capacity, 0.0)))
+    family += [np.maximum(np.minimum(((parts + 1) * size - 1) // capacity, parts), 0) / parts for parts in range(1, 21)]
+    return max(family, key=lambda prices: float(prices @ counts))
+
+
+def fractional_configurations(counts: np.ndarray, capacity: int = CAPACITY) -> dict[tuple[int, ...], float]:
+    """A fractional cover of ``counts`` (pieces by length) by configurations, scaled to cover the volume once.
+
+    In each round the knapsack finds the best configuration through each length at the present prices. All within
+    ``SLACK`` of the best one are answers of the oracle; they share the round's pieces, the least covered lengths
+    first. Lengths that the answers cover less than the average get dearer. Rounds after ``WARM_UP`` add up.
+    """
+    lengths = np.nonzero(counts)[0]
+    if not len(lengths):
+        return {}
+    size = np.arange(capacity + 1) / capacity
+    # among equals the longer piece is the dearer, as it has fewer places to go
+    start = (0.95 * first_prices(counts, capacity) + 0.05 * size) * (1 + 0.001 * size)
+    log_price = np.zeros(capacity + 1)
+    covered = np.zeros(capacity + 1)
+    mass: dict[tuple[int, ...], float] = defaultdict(float)
+    volume = lengths * counts[lengths]
+    for round_no in range(ROUNDS):
+        prices = start[lengths] * np.exp(log_price[lengths])
+        value, last, used = _fillings(lengths, prices, capacity)
+        worth = prices + value[capacity - lengths]
+        least = (1 - SLACK / (1 + round_no / SETTLE)) * worth.max()
+        good = lengths[worth >= least]
+        price_of = np.zeros(capacity + 1)
+        price_of[lengths] = prices
+        budget = np.zeros(capacity + 1)
+        budget[lengths] = counts[lengths]
+        for first in good[np.argsort(covered[good], kind="stable")]:
+            config, c = [int(first)], int(used[capacity - first])
+            while c:
+                config.append(int(last[c]))
+                c = int(used[c - last[c]])
+            # pieces that the round has used up fall out as long as the rest is still a good answer
+            while True:
+                config = [length for length in config if budget[length] > 0]
+                if not config or price_of[config].sum() < least:
+                    break
+                sizes, times = np.unique(config, return_counts=True)
+                step = (budget[sizes] / times).min()
+                budget[sizes] -= step * times
+                budget[sizes[budget[sizes] <= 1e-9 * counts[sizes]]] = 0
+                if round_no >= WARM_UP:
+                    mass[tuple(sorted(config, reverse=True))] += float(step)
+        share = 1 - budget[lengths] / counts[lengths]
+        covered[lengths] += share
+        log_price[lengths] += STRENGTH / (1 + round_no / SETTLE) * ((share * volume).sum() / volume.sum() - share)
+    scale = volume.sum() / sum(sum(config) * x for config, x in mass.items())
+    return {config: x * scale for config, x in mass.items()}
 
 
 def configurations(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of one sequence, how many such sequences), covering the histogram exactly."""
+    """(lengths of one sequence, how many such sequences), covering the histogram exactly.
+
+    Fractional masses are rounded down, the largest first, and the program is solved again for what that
+    leaves while rounding still takes a share of it; best fit packs the fractions that remain.
+    """
     left = np.zeros(capacity + 1, np.int64)
     for length, count in histogram.items():
         left[length] = count
-    total = left.copy()
     found: list[tuple[tuple[int, ...], int]] = []
     if left[capacity]:
         found.append(((capacity,), int(left[capacity])))
         left[capacity] = 0
-    weights = np.ones(capacity + 1)
-    for round_no in range(ROUNDS):
-        lengths = np.nonzero(left)[0]
-        if not len(lengths):
+    lengths = np.arange(capacity + 1)
+    for _ in range(PASSES):
+        before = int((lengths * left).sum())
+        if not before:
             break
-        last = _fillings(lengths, lengths * weights[lengths], capacity)
-        waste_bound = (round_no * capacity) // (40 * ROUNDS)
-        taken = 0
-        for first in lengths[::-1]:
-            while left[first]:
-                config, c = [int(first)], capacity - int(first)
-                while c > 0:
-                    if last[c]:
-                        config.append(int(last[c]))
-                        c -= int(last[c])
-                    else:
-                        c -= 1
-                if capacity - sum(config) > waste_bound:
-                    break
-                sizes, counts = np.unique(config, return_counts=True)
-                times = int((left[sizes] // counts).min())
-                if not times:
-                    break
-                left[sizes] -= times * counts
-                taken += times
-                found.append((tuple(sorted(config, reverse=True)), times))
-        covered = 1 - left[lengths] / total[lengths]
-        weights[lengths] *= np.exp(STRENGTH * (covered.mean() - covered) / (1 + round_no))
-        weights[lengths] *= 1 + 0.01 * np.sin(lengths * (round_no + 1.0))  # breaks ties anew in each round
-    found += _best_fit(left, capacity)
-    # where large pieces decide, rounds that avoid waste lag behind plain best fit: the shorter of both counts
-    plain = _best_fit(total, capacity)
-    return min(found, plain, key=lambda plan: sum(times for _, times in plan))
+        for config, x in sorted(fractional_configurations(left, capacity).items(), key=lambda item: (-item[1], item[0])):
+            sizes, times = np.unique(config, return_counts=True)
+            whole = min(int(x), int((left[sizes] // times).min()))
+            if whole:
+                left[sizes] -= whole * times
+                found.append((config, whole))
+        if before - int((lengths * left).sum()) < TAKEN_SHARE * before:
+            break
+    return found + _best_fit(left, capacity)
 
 
 def _best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:

@@ -98,6 +98,38 @@ def test_configurations_cover_a_histogram_exactly():
     assert sum(t for _, t in found) <= 1.01 * least + 2
 
 
+def test_rounded_program_beats_best_fit_where_large_pieces_decide():
+    rng = np.random.default_rng(1)
+    for low, high in ((500, 1200), (600, 760)):
+        lengths, counts = np.unique(rng.integers(low, high, 4000), return_counts=True)
+        left = np.zeros(packing.CAPACITY + 1, np.int64)
+        left[lengths] = counts * 100
+        found = packing.configurations(dict(zip(lengths.tolist(), left[lengths].tolist(), strict=True)))
+        got = Counter()
+        for config, times in found:
+            assert sum(config) <= packing.CAPACITY
+            for n in config:
+                got[n] += times
+        assert got == {int(n): int(left[n]) for n in lengths}
+        least = packing.first_prices(left) @ left
+        sequences, plain = sum(t for _, t in found), sum(t for _, t in packing._best_fit(left, packing.CAPACITY))
+        assert least <= sequences <= 1.015 * least and sequences < 0.98 * plain
+        # the rounded program itself places most of the pieces
+        assert sum(packing.fractional_configurations(left).values()) <= 1.015 * least
+
+
+def test_first_prices_bound_every_configuration():
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        counts = np.zeros(31, np.int64)
+        counts[rng.integers(1, 31, 12)] += rng.integers(1, 50, 12)
+        prices = packing.first_prices(counts, 30)
+        worth = np.zeros(31)
+        for c in range(1, 31):
+            worth[c] = max([worth[c - 1], *(worth[c - n] + prices[n] for n in range(1, c + 1))])
+        assert worth[30] <= 1 + 1e-9
+
+
 def test_mix_takes_each_source_to_its_target(docs, nothing):
     rows = mixing.mix(docs, ["doc_id", "source"]).collect()
     size = Counter()
