@@ -82,3 +82,44 @@ def test_new_notes_meet_each_text_once(spark):
     assert "_bs" not in _plan(found)
     assert [r.new_id for r in N.contained_in(texts.withColumnsRenamed({"learning_id": "new_id"}).unionByName(
         spark.createDataFrame([(9, "BROWN fox")], "new_id long, content string")), texts.withColumnRenamed("learning_id", "new_id"), earlier="new_id").collect()] == [9]
+
+
+def _nodes(plan):
+    children = plan.children()
+    return [plan, *[n for i in range(children.size()) for n in _nodes(children.apply(i))]]
+
+
+def _outputs(df, kind: str) -> list[str]:
+    plan = df._jdf.queryExecution().optimizedPlan()
+    return [n.output().mkString(",") for n in _nodes(plan) if n.nodeName() == kind]
+
+
+def test_rules_leave_the_maps_of_a_document_behind(spark):
+    docs = spark.createDataFrame([(1, "T"), (2, "T")], "doc_id long, invoice_type_id string")
+    fields = spark.createDataFrame(
+        [(1, "F_A", "a", "x", 1, None), (1, "F_N", "n", "1,5", 1, 1.5), (2, "F_A", "a", "null", 1, None), (2, "F_N", "n", "y", 1, None)],
+        "doc_id long, field_id string, field_name string, value_text string, source_page int, value_num double")
+    rules = spark.createDataFrame([
+        ("R1", "T", "one", "F_X", "required_one_of", "F_A, z", "error", "none", 1), ("R2", "T", "if", "F_A", "conditional_check", "if a=x then n=1.5", "error", "other", 2),
+        ("R3", "T", "sum", "F_N", "cross_field", "n", "error", "", 3), ("R4", "T", "near", "F_N", "range", "1,2", "error", "out", 4),
+        ("R5", "T", "form", "F_N", "regex", r"1\.5$", "error", "form", 5)],
+        "rule_id string, invoice_type_id string, rule_name string, field_id string, check_type string, check_value string, severity string, error_message string, rule_order int")
+    out = R.evaluate_rules(docs, fields, rules)
+    assert sum("_values#" in columns for columns in _outputs(out, "Project")) <= 2
+    got = {(r["doc_id"], r["rule_id"]): r["status"] for r in out.collect()}
+    assert {k[1]: v for k, v in got.items() if k[0] == 1} == dict.fromkeys(("R1", "R2", "R3", "R4", "R5"), "passed")
+    assert {k[1]: v for k, v in got.items() if k[0] == 2} == {"R1": "failed", "R2": "skipped", "R3": "skipped", "R4": "failed", "R5": "failed"}
+
+
+def test_page_rows_meet_their_type_before_they_become_lines(spark, tmp_path):
+    spark.createDataFrame([(1, 10, "O", "1-URGENT", "1995-01-02", 1.0)],
+                          "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string, o_orderdate string, o_totalprice double"
+                          ).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, 1, 5, 2.5, "1995-01-03"), (2, 1, 5, 2.5, "1995-01-03")],
+                          "l_orderkey long, l_linenumber int, l_partkey long, l_extendedprice double, l_shipdate string"
+                          ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    lines = scenario.ocr_lines(spark, str(tmp_path))
+    nodes = [n.nodeName() for n in _nodes(lines._jdf.queryExecution().optimizedPlan())]
+    assert nodes.index("Generate") < nodes.index("Join")
+    assert [(r["doc_id"], r["line_no"], r["invoice_type_id"]) for r in lines.orderBy("line_no").collect()] == [(1, n, "VIAJES") for n in (3, 4, 5)]
+    assert lines.columns[-1] == "invoice_type_id" and lines.columns[0] == "doc_id"
