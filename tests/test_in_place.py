@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
+from auditloom import schemas as S
 from auditloom.operators import learnings as N
 from auditloom.operators import rules as R
+from auditloom.operators import scoring as P
 from auditloom.operators.scale import grown, join_inside
 from auditloom.plans import canonical as C
 from auditloom.plans import scenario
@@ -123,3 +127,49 @@ def test_page_rows_meet_their_type_before_they_become_lines(spark, tmp_path):
     assert nodes.index("Generate") < nodes.index("Join")
     assert [(r["doc_id"], r["line_no"], r["invoice_type_id"]) for r in lines.orderBy("line_no").collect()] == [(1, n, "VIAJES") for n in (3, 4, 5)]
     assert lines.columns[-1] == "invoice_type_id" and lines.columns[0] == "doc_id"
+
+
+def _orders(spark, folder) -> str:
+    spark.createDataFrame([(k, 10, "O", "1-URGENT", datetime.date(1995, 1, 2), 1.0) for k in (1, 2, None)],
+                          "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string, o_orderdate date, o_totalprice double"
+                          ).write.parquet(f"{folder}/orders.parquet")
+    spark.createDataFrame([(1, 2.5, 0.1, 0.05, 3.0), (1, 4.0, 0.0, 0.05, 2.0)],
+                          "l_orderkey long, l_extendedprice double, l_discount double, l_tax double, l_quantity double"
+                          ).write.parquet(f"{folder}/lineitem.parquet")
+    return str(folder)
+
+
+def test_sums_of_documents_are_not_broadcast_and_fields_are_mapped_in_place(spark, tmp_path):
+    folder = _orders(spark, tmp_path)
+    assert "Broadcast" not in _plan(scenario.wide_documents(spark, folder))
+    # both inputs are dealt by doc_id once; their fields become maps without a further shuffle
+    assert _plan(R.field_map(scenario.field_results(spark, folder))).count("Exchange hashpartitioning") == 2
+    got = {r["doc_id"]: (r["units"], r["net_c"]) for r in scenario.wide_documents(spark, folder).collect()}
+    assert got == {1: (5, 625), 2: (None, None), None: (None, None)}
+
+
+def test_runs_meet_verdict_and_field_tables_by_sorting(spark):
+    runs = spark.createDataFrame([(1, "a.pdf"), (None, "b.pdf")], "doc_id long, invoice_file string")
+    rows = spark.createDataFrame([(1,), (1,), (None,)], "doc_id long").withColumns(
+        {c: F.lit(0.5) for c in {*S.RULE_TABLE, *S.FIELD_TABLE, "value_text"} - {"doc_id", "invoice_file"}})
+    for table in (C.rule_table, C.field_table):
+        out = table(runs, rows)
+        assert "Broadcast" not in _plan(out) and [r["invoice_file"] for r in out.collect()] == ["a.pdf", "a.pdf"]
+
+
+def test_truth_meets_values_in_place_and_only_what_is_asked_is_read(spark):
+    values = spark.createDataFrame(
+        [(1, "invoice_date", "03/04/2024"), (1, "units", "5"), (1, "currency", " EUR "), (1, None, "x"), (None, "units", "5"), (2, "units", "1,5"), (2, "pay_period", "x2")],
+        "doc_id long, field_name string, value_text string").withColumns({"confidence": F.lit(0.5), "flagged_for_review": F.lit(None).cast("boolean")})
+    truth = spark.createDataFrame(
+        [(1, "invoice_date", "2024-04-03"), (1, "currency", "eur"), (1, None, "x"), (None, "units", "5"), (2, "units", "1.5"), (2, "pay_period", "X2"), (3, "units", "7")],
+        "doc_id long, field_name string, truth_value string")
+    compared = P.compare_fields(values, truth)
+    assert not [line for line in _plan(compared).splitlines() if "Exchange hashpartitioning" in line and "field_name" in line]
+    got = sorted(((r["doc_id"], r["field_name"], r["value_text"], r["truth_value"], r["match"]) for r in compared.collect()), key=str)
+    assert got == sorted([
+        (1, "invoice_date", "03/04/2024", "2024-04-03", True), (1, "units", "5", None, None), (1, "currency", " EUR ", "eur", True),
+        (1, None, "x", None, None), (1, None, None, "x", False), (None, "units", "5", None, None), (None, "units", None, "5", False),
+        (2, "units", "1,5", "1.5", True), (2, "pay_period", "x2", "X2", True), (3, "units", None, "7", False)], key=str)
+    unnamed = P.compare_values(spark.createDataFrame([(None, "5", "5.0"), (None, "A", "a")], "field_name string, value_text string, truth_value string"))
+    assert [(r["match"], r["partial"]) for r in unnamed.orderBy("value_text").collect()] == [(False, False), (True, False)]
