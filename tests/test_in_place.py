@@ -11,8 +11,9 @@ from auditloom import schemas as S
 from auditloom.operators import learnings as N
 from auditloom.operators import rules as R
 from auditloom.operators import scoring as P
-from auditloom.operators.scale import grown, join_inside
+from auditloom.operators.scale import dealt, grown, join_inside
 from auditloom.plans import canonical as C
+from auditloom.plans import queries_views as QV
 from auditloom.plans import scenario
 from auditloom.plans import views as V
 
@@ -173,3 +174,22 @@ def test_truth_meets_values_in_place_and_only_what_is_asked_is_read(spark):
         (2, "units", "1,5", "1.5", True), (2, "pay_period", "x2", "X2", True), (3, "units", None, "7", False)], key=str)
     unnamed = P.compare_values(spark.createDataFrame([(None, "5", "5.0"), (None, "A", "a")], "field_name string, value_text string, truth_value string"))
     assert [(r["match"], r["partial"]) for r in unnamed.orderBy("value_text").collect()] == [(False, False), (True, False)]
+
+
+def test_tasks_hold_a_bounded_number_of_documents(spark):
+    """The partitions follow the rows and stay apart, however few bytes they shuffle; adaptive execution left one of the second."""
+    docs = spark.range(1000).withColumnRenamed("id", "doc_id")
+    assert dealt(docs, "doc_id", 10).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = dealt(docs, "doc_id", 1000, 25)
+    sums = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
+    met = spread.join(grown(sums), "doc_id", "left").withColumn("task", F.spark_partition_id())
+    held = met.groupBy("task").count().collect()
+    assert len(held) == 40 and sum(r["count"] for r in held) == 1000 and max(r["count"] for r in held) < 75
+
+
+def test_field_pages_of_a_document_are_dealt_once(spark, small_dir):
+    """Dealt documents grow into fields in place; the fields were dealt by document and field, then by document."""
+    results = QV.base(spark, small_dir)[1]
+    lines = [line for line in _plan(V.status_pivot(results)).splitlines() if "Exchange hashpartitioning(doc_id" in line]
+    assert lines and not [line for line in lines if "field_id" in line]
+    assert "REPARTITION_BY_NUM" in "".join(lines)
