@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.blanks import squeeze
 from ..functions.text import fold_any_script
+from .scale import grown, join_inside
 
 # Label coverage, reading thresholds, paddings, reach below a label.
 MIN_TERM_CHARS = 3
@@ -16,9 +17,6 @@ REACH_HEIGHTS = 2.5
 MIN_OVERLAP = 0.2
 UNION_PADDING = 0.02
 
-# Height in pixels of the bands used to turn interval joins into equi joins.
-BAND = 64
-
 
 def search_terms(fields: DataFrame) -> DataFrame:
     """Folded labels and aliases per (type, field), long enough to mean something."""
@@ -45,10 +43,6 @@ def localize_labels(lines: DataFrame, fields: DataFrame) -> DataFrame:
     return best.filter(F.col("score") >= MIN_COVERAGE).select("doc_id", "page_num", "field_name", "score", "_l.*")
 
 
-def _bands(low: Column, high: Column) -> Column:
-    return F.sequence(F.floor(low / BAND).cast("bigint"), F.floor(high / BAND).cast("bigint"))
-
-
 def _height() -> Column:
     return F.greatest(F.col("y2") - F.col("y1"), F.lit(1))
 
@@ -56,17 +50,13 @@ def _height() -> Column:
 def value_below(labels: DataFrame, lines: DataFrame) -> DataFrame:
     """Nearest line below each label with enough horizontal overlap.
 
-    A label reaches only the bands just below it; a line lies in one band, so
-    the interval join is an equi join on (document, page, band).
+    Labels meet the lines of their page, which holds a bounded number of both; the nearest is found where they met.
     """
-    reach = F.col("y2") + _height() * REACH_HEIGHTS
     wanted = labels.select("doc_id", "page_num", "field_name", F.col("x1").alias("_x1"), F.col("x2").alias("_x2"),
-                           F.col("y2").alias("_y2"), reach.alias("_reach"),
-                           F.explode(_bands(F.col("y2"), reach)).alias("_band"))
-    offered = lines.select("doc_id", "page_num", F.floor(F.col("y1") / BAND).cast("bigint").alias("_band"),
-                           F.struct("y1", "line_no", "text", "confidence", "x1", "x2", "y2").alias("_v"))
+                           F.col("y2").alias("_y2"), (F.col("y2") + _height() * REACH_HEIGHTS).alias("_reach"))
+    offered = lines.select("doc_id", "page_num", F.struct("y1", "line_no", "text", "confidence", "x1", "x2", "y2").alias("_v"))
     overlap = F.least("_v.x2", "_x2") - F.greatest("_v.x1", "_x1")
-    near = wanted.join(offered, ["doc_id", "page_num", "_band"]).filter(
+    near = wanted.join(grown(offered), ["doc_id", "page_num"]).filter(
         (F.col("_v.y1") > F.col("_y2")) & (F.col("_v.y1") <= F.col("_reach"))
         & (overlap >= (F.col("_x2") - F.col("_x1")) * MIN_OVERLAP)
     )
@@ -76,7 +66,7 @@ def value_below(labels: DataFrame, lines: DataFrame) -> DataFrame:
 def localize_values(lines: DataFrame, fields: DataFrame) -> DataFrame:
     """Value text, confidence and crop box per field: inline, below, or blank area."""
     labels = localize_labels(lines, fields)
-    rows = labels.join(value_below(labels, lines), ["doc_id", "page_num", "field_name"], "left")
+    rows = join_inside(labels, value_below(labels, lines), ["doc_id", "page_num"], ["field_name"])
     pad_x = F.greatest(F.lit(8), F.floor(F.col("image_width") * 0.015))
     pad_y = F.greatest(F.lit(4), F.floor(F.col("image_height") * 0.008))
     after = squeeze(F.regexp_extract("text", r"(?s)^[^:]*:(.*)$", 1))
@@ -125,16 +115,13 @@ def union_boxes(boxes: DataFrame, keys=("doc_id", "page_num", "region")) -> Data
 
 
 def lines_in_crop(crops: DataFrame, lines: DataFrame, key: str = "region") -> DataFrame:
-    """Lines intersecting each crop box, joined band by band and emitted once."""
-    boxes = crops.select("doc_id", "page_num", key, *[F.col(c).alias(f"_{c}") for c in ("x1", "y1", "x2", "y2")],
-                         F.explode(_bands(F.col("y1"), F.col("y2"))).alias("_band"))
-    rows = lines.select("doc_id", "page_num", "line_no", "text", "x1", "y1", "x2", "y2",
-                        F.explode(_bands(F.col("y1"), F.col("y2"))).alias("_band"))
-    meet = rows.join(boxes, ["doc_id", "page_num", "_band"]).filter(
+    """Lines intersecting each crop box, joined page by page; a page holds a bounded number of both."""
+    boxes = crops.select("doc_id", "page_num", key, *[F.col(c).alias(f"_{c}") for c in ("x1", "y1", "x2", "y2")])
+    rows = lines.select("doc_id", "page_num", "line_no", "text", "x1", "y1", "x2", "y2")
+    meet = rows.join(grown(boxes), ["doc_id", "page_num"]).filter(
         (F.col("x1") < F.col("_x2")) & (F.col("x2") > F.col("_x1")) & (F.col("y1") < F.col("_y2")) & (F.col("y2") > F.col("_y1"))
     )
-    first_band = F.floor(F.greatest("y1", "_y1") / BAND).cast("bigint")
-    return meet.filter(F.col("_band") == first_band).select("doc_id", "page_num", key, "line_no", "text")
+    return meet.select("doc_id", "page_num", key, "line_no", "text")
 
 
 def full_text(lines: DataFrame, keys=("doc_id", "page_num")) -> DataFrame:
